@@ -8,7 +8,6 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.functions.numeric import sum_where
 from marketpulse.spec import SegmentSpec, pick
 
 
@@ -39,12 +38,13 @@ def anchored_panel(
     and the gap-free period axis come out of a single aggregation, with neither
     a self join nor a product of operators and periods.
     """
-    at, lives = F.col("competencia"), F.col("beneficiarios")
     cells = [
-        F.coalesce(sum_where(at == F.lit(q), lives), F.lit(0)).alias(q.isoformat())
+        F.expr(
+            f"coalesce(sum(if(competencia = DATE'{q}', beneficiarios, null)), 0L)"
+        ).alias(q.isoformat())
         for q in quarters
     ]
-    anchored = F.max(F.year(at) == pick(specs, lambda s: s.anchor_year))
+    anchored = F.max(F.year("competencia") == pick(specs, lambda s: s.anchor_year))
     return (
         fact.groupBy("segmento", "registro", "operadora")
         .agg(anchored.alias("_anchored"), *cells)
@@ -60,11 +60,15 @@ def panel_rows(panel: DataFrame, quarters: Sequence[date]) -> DataFrame:
     return panel.unpivot(keys, cells, "competencia", "beneficiarios")
 
 
-def in_requested_range(specs: Sequence[SegmentSpec]):
-    """Keeps each segment to its own quarters when the segments' ranges differ."""
+def keep_requested(
+    df: DataFrame, specs: Sequence[SegmentSpec], quarters: Sequence[date]
+) -> DataFrame:
+    """Keeps each segment to its own quarters where the segments' ranges differ."""
+    if all(s.first_quarter <= min(quarters) and max(quarters) <= s.last_quarter for s in specs):
+        return df
     at = F.col("competencia")
     first = pick(specs, lambda s: s.first_quarter)
-    return (at >= first) & (at <= pick(specs, lambda s: s.last_quarter))
+    return df.filter((at >= first) & (at <= pick(specs, lambda s: s.last_quarter)))
 
 
 def append_total(df: DataFrame, sums: Sequence[str], labels: dict[str, str]) -> DataFrame:

@@ -32,13 +32,6 @@ def member_flag(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     )
 
 
-def share_labels(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
-    """The share that each segment's page shows, with its labels."""
-    med = enrolment.share_of_headline(inputs, one(specs, "MED"))
-    odo = enrolment.share_of_total(inputs, one(specs, "ODO"))
-    return enrolment.label_shares(med.unionByName(odo))
-
-
 JOBS: dict[str, Job] = {
     "q01_crosstab_to_fact": crosstabs.extract_round_trip,
     "q02_crosstab_margins": crosstabs.margins,
@@ -86,6 +79,6 @@ JOBS: dict[str, Job] = {
     "q37_finance_series": finance.finance_series,
     "q38_finance_growth": finance.finance_growth,
     "q39_member_count": kpi.member_count,
-    "q40_share_labels": share_labels,
+    "q40_share_labels": enrolment.share_labels,
     "q42_kpi_table": kpi.kpi_table,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import (
@@ -21,7 +21,7 @@ from marketpulse.operators.compare import is_at, series, year_over_year
 from marketpulse.operators.members import (
     anchored_panel,
     flag_members,
-    in_requested_range,
+    keep_requested,
     panel_rows,
 )
 from marketpulse.sources.inputs import Inputs
@@ -39,9 +39,10 @@ def _flagged_panel(
 
 def operator_panel(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """Every anchored operator in every requested quarter, 0 where it has no lives."""
-    rows = _flagged_panel(inputs, specs, all_quarters(specs))
+    quarters = all_quarters(specs)
+    rows = _flagged_panel(inputs, specs, quarters)
     rows = rows.withColumn("competencia", F.col("competencia").cast("date"))
-    return rows.filter(in_requested_range(specs)).select(
+    return keep_requested(rows, specs, quarters).select(
         "segmento", "registro", "operadora", "associada", "competencia", "beneficiarios"
     )
 
@@ -54,25 +55,22 @@ def market_series(
     ``associadas`` is null throughout when no member is in the panel, and 0 in
     a quarter in which the panel's members have no lives.
     """
-    rows = _flagged_panel(inputs, specs, quarters or all_quarters(specs))
+    quarters = quarters or all_quarters(specs)
+    rows = _flagged_panel(inputs, specs, quarters)
     lives = F.col("beneficiarios")
     totals = rows.groupBy("segmento", "competencia").agg(
         F.sum(lives).alias("mercado"),
         sum_where(F.col("associada") == 1, lives).alias("associadas"),
     )
     totals = totals.withColumn("competencia", F.col("competencia").cast("date"))
-    return totals.filter(in_requested_range(specs))
+    return keep_requested(totals, specs, quarters)
 
 
 def market_total(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
-    return (
-        market_series(inputs, specs)
-        .select(
-            "segmento",
-            F.col("competencia").alias("trimestre"),
-            F.col("mercado").alias("beneficiarios"),
-        )
-        .orderBy("segmento", "trimestre")
+    return market_series(inputs, specs).select(
+        "segmento",
+        F.col("competencia").alias("trimestre"),
+        F.col("mercado").alias("beneficiarios"),
     )
 
 
@@ -85,7 +83,6 @@ def member_total(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
             F.col("competencia").alias("trimestre"),
             F.col("associadas").alias("beneficiarios"),
         )
-        .orderBy("segmento", "trimestre")
     )
 
 
@@ -140,19 +137,13 @@ def member_coverage(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     return series_indicators(inputs, specs).select("segmento", "perc_a", box.alias("texto"))
 
 
-def share_by_flag(
-    fact: DataFrame, members: DataFrame, specs: Sequence[SegmentSpec], headline_only: bool
-) -> DataFrame:
-    """Lives of members and others at one snapshot, and their shares.
+def share_by_flag(fact: DataFrame, members: DataFrame, wanted: Column) -> DataFrame:
+    """Members' and others' lives in the ``wanted`` rows of one snapshot, and their shares.
 
     A missing count anywhere in a group makes its sum missing, and with it every share.
     """
     lives = F.col("beneficiarios")
-    if headline_only:
-        wanted = F.col("modalidade") == pick(specs, lambda s: s.headline.key)
-    else:
-        wanted = F.lit(True)
-    # An operator without rows of the headline modality has 0 lives there.
+    # An operator that has rows, but no wanted ones, has 0 lives there.
     none = F.count_if(wanted) == 0
     by_operator = fact.groupBy("segmento", "registro").agg(
         F.when(none, F.lit(0)).otherwise(guarded_sum(lives, wanted)).alias("beneficiarios")
@@ -163,23 +154,35 @@ def share_by_flag(
         .agg(guarded_sum(lives).alias("beneficiarios"))
     )
     share = share_of(lives, Window.partitionBy("segmento"))
-    return groups.withColumn("percentual", share).orderBy("segmento", "associada")
+    return groups.withColumn("percentual", share)
+
+
+def _is_headline(spec: SegmentSpec) -> Column:
+    return F.col("modalidade") == spec.headline.key
 
 
 def share_of_headline(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """Members' share of the headline modality."""
     fact = inputs.enrolment(specs, {"registro", "modalidade"}, snapshots(specs, "current"))
     fact = fact.filter(is_at(specs, "current"))
-    return share_by_flag(fact, inputs.members(specs), specs, headline_only=True)
+    return share_by_flag(fact, inputs.members(specs), pick(specs, _is_headline))
 
 
 def share_of_total(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """Members' share of all lives of the segment."""
     fact = inputs.enrolment(specs, {"registro"}, snapshots(specs, "current"))
     fact = fact.filter(is_at(specs, "current"))
-    return share_by_flag(fact, inputs.members(specs), specs, headline_only=False)
+    return share_by_flag(fact, inputs.members(specs), F.lit(True))
 
 
-def label_shares(shares: DataFrame) -> DataFrame:
+def share_labels(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
+    """The share that each segment's page shows, with its labels, in one pass.
+
+    The medical page shows the headline modality, the dental one all lives.
+    """
+    fact = inputs.enrolment(specs, {"registro", "modalidade"}, snapshots(specs, "current"))
+    fact = fact.filter(is_at(specs, "current"))
+    wanted = pick(specs, lambda s: _is_headline(s) if s.share_of_headline else F.lit(True))
+    shares = share_by_flag(fact, inputs.members(specs), wanted)
     name = F.when(F.col("associada") == 1, "Associadas").otherwise("Não associadas")
     return shares.withColumn("associada", name)

@@ -33,18 +33,18 @@ def positions(ledger: DataFrame, specs: Sequence[SegmentSpec]) -> DataFrame:
     """One row per operator, modality and quarter, one column per account role.
 
     The accounts are known, so the pivot is one aggregation with partial sums.
-    A missing account stays null.
+    A missing account stays null. A segment's result uses its own roles only,
+    so a role may collect the accounts of every segment.
     """
-
-    def is_account(papel: str) -> Column:
-        def name(s: SegmentSpec) -> str | None:
-            account = s.account(papel)
-            return account.conta if account else None
-
-        return F.col("class_conta") == pick(specs, name)
-
+    contas = {
+        r: sorted({a.conta for s in specs for a in s.accounts if a.papel == r})
+        for r in _roles(specs)
+    }
     return ledger.groupBy(*POSITION).agg(
-        *[sum_where(is_account(r), F.col("saldo_cents")).alias(r) for r in _roles(specs)]
+        *[
+            sum_where(F.col("class_conta").isin(names), F.col("saldo_cents")).alias(r)
+            for r, names in contas.items()
+        ]
     )
 
 
@@ -134,11 +134,7 @@ def finance_year(
 
 def finance_compare(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """``finance_year`` of the two compared years."""
-    return (
-        finance_year(inputs, specs, _fin_years(specs))
-        .filter(is_fin_year(specs))
-        .orderBy("segmento", "ano")
-    )
+    return finance_year(inputs, specs, _fin_years(specs)).filter(is_fin_year(specs))
 
 
 def finance_series(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
@@ -148,7 +144,6 @@ def finance_series(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     return (
         long.join(_metric_names(inputs, specs), ["segmento", "coluna"])
         .select("segmento", "ano", "ordem", F.col("rotulo").alias("tipo"), "valor")
-        .orderBy("segmento", "ano", "ordem")
     )
 
 
@@ -161,7 +156,7 @@ def finance_members(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
         "segmento",
         "ano",
         *[c.alias(n) for n, c in published(specs, net=False, digits=2).items()],
-    ).orderBy("segmento", "ano")
+    )
 
 
 def _metric_names(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
@@ -177,8 +172,7 @@ def by_metric(inputs: Inputs, specs: Sequence[SegmentSpec], table: DataFrame) ->
     years = {"ano_ant": is_year(specs, 0), "ano_atu": is_year(specs, 1)}
     rows = transpose(table, METRICS, years, "coluna")
     return (
-        _metric_names(inputs, specs)
-        .join(rows, ["segmento", "coluna"])
+        rows.join(_metric_names(inputs, specs), ["segmento", "coluna"])
         .select("segmento", "ordem", F.col("rotulo").alias("tipo"), "ano_ant", "ano_atu")
     )
 

@@ -77,4 +77,4 @@ def kpi_table(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     ]
     if one(specs, med) and one(specs, odo):
         parts.append(_rows(individual.members_lives(inputs, specs)))
-    return reduce(DataFrame.unionByName, parts).orderBy("segmento", "kpi")
+    return reduce(DataFrame.unionByName, parts)

@@ -68,8 +68,7 @@ def modality_compare(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     periods = {"ant": is_at(specs, "prior"), "atu": is_at(specs, "current")}
     rows = transpose(table, names, periods, "coluna")
     return (
-        dimension(inputs.spark, specs, _with_total)
-        .join(rows, ["segmento", "coluna"])
+        rows.join(dimension(inputs.spark, specs, _with_total), ["segmento", "coluna"])
         .select("segmento", "ordem", F.col("rotulo").alias("modalidade"), "ant", "atu")
         .orderBy("segmento", "ordem")
     )

@@ -37,7 +37,7 @@ def region_snapshot(fact: DataFrame, members: DataFrame, regions: DataFrame) ->
             guarded_sum(lives, is_member).alias("benef_associadas"),
         )
     )
-    return F.broadcast(regions).join(by_region, ["segmento", "regiao"], "left")
+    return regions.join(by_region, ["segmento", "regiao"], "left")
 
 
 def _snapshot(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
@@ -83,8 +83,7 @@ def region_compare(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     periods = {"ant": is_at(specs, "prior"), "atu": is_at(specs, "current")}
     rows = transpose(table, names, periods, "coluna")
     return (
-        _regions(inputs, specs)
-        .join(rows, ["segmento", "coluna"])
+        rows.join(_regions(inputs, specs), ["segmento", "coluna"])
         .select("segmento", "ordem", F.col("rotulo").alias("regioes"), "ant", "atu")
         .orderBy("segmento", "ordem")
     )

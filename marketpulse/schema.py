@@ -49,7 +49,7 @@ def dimension(
 ) -> DataFrame:
     """The categories of each segment as rows: segmento, chave, coluna, rotulo, ordem, codigo.
 
-    A handful of literals from the spec, so it may always be broadcast.
+    A handful of literals from the spec, so it is always broadcast.
     """
     rows = [
         F.struct(
@@ -63,4 +63,4 @@ def dimension(
         for s in specs
         for c in categories(s)
     ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows))))

@@ -8,7 +8,9 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marketpulse.schema import ENROLMENT, LEDGER
 from marketpulse.spec import SegmentSpec
 
 DIMENSIONS = ("registro", "operadora", "modalidade", "regiao")
@@ -63,8 +65,10 @@ class LandedInputs:
         if not fitting:
             raise LookupError(f"no landed cut has the dimensions {sorted(dims)}")
         cut = min(fitting, key=lambda c: (len(c), sorted(c)))
+        stored = [f for f in ENROLMENT if f.name not in DIMENSIONS or f.name in cut]
         return (
-            self.spark.read.parquet(self._enrolment[cut])
+            self.spark.read.schema(T.StructType(stored))
+            .parquet(self._enrolment[cut])
             .filter(F.col("segmento").isin([s.segmento for s in specs]))
             .filter(F.col("competencia").isin(sorted(quarters)))
             .select(
@@ -83,9 +87,9 @@ class LandedInputs:
     def ledger(
         self, specs: Sequence[SegmentSpec], years: Collection[int] | None = None
     ) -> DataFrame:
-        df = self.spark.read.parquet(self._ledger).filter(
-            F.col("segmento").isin([s.segmento for s in specs])
-        )
+        stored = T.StructType([*LEDGER, T.StructField("ano", T.IntegerType())])
+        df = self.spark.read.schema(stored).parquet(self._ledger)
+        df = df.filter(F.col("segmento").isin([s.segmento for s in specs]))
         if years is not None:
             df = df.filter(F.col("ano").isin(sorted(years)))
         return df.drop("ano")

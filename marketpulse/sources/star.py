@@ -72,6 +72,18 @@ STAR_MED = replace(
 STAR_ODO = replace(ODO, **_PARAMETERS, headline=HOUSEHOLD, regions=STAR_REGIONS_ODO)
 STAR_SPECS = (STAR_MED, STAR_ODO)
 
+# The columns that are read, with their stored types; a given schema spares a
+# pass over the files' footers.
+TABLES = {
+    "lineitem": "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_linestatus string",
+    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+    "customer": "c_custkey long, c_name string, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
 # Members: operators with a high balance (medical list) or a low one (dental list).
 MEMBER_BALANCE = {"MED": lambda bal: bal >= 7300, "ODO": lambda bal: bal < 1750}
 
@@ -150,7 +162,7 @@ class StarInputs:
         self._directory = directory.rstrip("/")
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._directory}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self._directory}/{name}.parquet")
 
     def enrolment(
         self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
@@ -169,8 +181,13 @@ class StarInputs:
             out |= {"operadora": F.col("c_name"), "modalidade": F.col("c_mktsegment")}
         fact = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         if "regiao" in dims:
-            place = self._supplier_region()
-            fact = fact.join(place, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+            # One join per stored table: each side's size is then known from its
+            # files, and the lines are not shuffled for a join of small tables.
+            fact = (
+                fact.join(self._table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+                .join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+                .join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+            )
             out["regiao"] = F.coalesce("r_name", F.lit(UNIDENTIFIED_REGION))
         keep = [c for c in out if c in ("segmento", "competencia") or c in dims]
         return fact.select(
@@ -178,16 +195,6 @@ class StarInputs:
             F.col("l_quantity").cast("long").alias("beneficiarios"),
         )
 
-    def _supplier_region(self) -> DataFrame:
-        nation = self._table("nation").join(
-            self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-        )
-        return (
-            self._table("supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .select("s_suppkey", "r_name")
-        )
-
     def raw_members(self, segmento: str) -> DataFrame:
         """A member list as it arrives, with its own headers and a numeric id."""
         customer = self._table("customer")
@@ -214,31 +221,19 @@ class StarInputs:
         lines = self._table("lineitem").filter(_only(specs))
         rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         number = (F.col("l_orderkey") + F.col("l_linenumber")) % len(ACCOUNT_CLASSES)
-        role = F.element_at(_texts(ACCOUNT_CLASSES), (number + 1).cast("int"))
+        negative = [i for i, r in enumerate(ACCOUNT_CLASSES) if r in NEGATIVE_ROLES]
         modality = F.element_at(
             _texts([m.key for m in MODALITIES]),
             (F.col("l_suppkey") % len(MODALITIES) + 1).cast("int"),
         )
         amount = F.round(F.col("l_extendedprice") * 100).cast("long")
-        return (
-            rows.select(
-                _segment().alias("segmento"),
-                F.col("l_suppkey").cast("string").alias("registro"),
-                modality.alias("modalidade"),
-                _quarter_of_order().alias("ano_tri"),
-                role.alias("_role"),
-                amount.alias("_amount"),
-            )
-            .select(
-                "segmento",
-                "registro",
-                "modalidade",
-                "ano_tri",
-                _account_name().alias("class_conta"),
-                F.when(F.col("_role").isin(*NEGATIVE_ROLES), -F.col("_amount"))
-                .otherwise(F.col("_amount"))
-                .alias("saldo_cents"),
-            )
+        return rows.select(
+            _segment().alias("segmento"),
+            F.col("l_suppkey").cast("string").alias("registro"),
+            modality.alias("modalidade"),
+            _quarter_of_order().alias("ano_tri"),
+            _account_name(number).alias("class_conta"),
+            F.when(number.isin(negative), -amount).otherwise(amount).alias("saldo_cents"),
         )
 
 
@@ -246,15 +241,13 @@ def _texts(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _account_name() -> Column:
-    """The segment's account for a role; roles that only one segment has keep that name."""
+def _account_name(number: Column) -> Column:
+    """The segment's account of a class; roles that only one segment has keep that name."""
 
     def names(accounts: Sequence[Account]) -> Column:
-        own = {a.papel: a.conta for a in accounts}
-        every = {a.papel: a.conta for a in ACCOUNTS_MED} | own
-        pairs = [F.lit(x) for item in every.items() for x in item]
-        return F.element_at(F.create_map(*pairs), F.col("_role"))
+        own = {a.papel: a.conta for a in ACCOUNTS_MED} | {a.papel: a.conta for a in accounts}
+        return F.element_at(_texts([own[r] for r in ACCOUNT_CLASSES]), (number + 1).cast("int"))
 
-    return F.when(F.col("segmento") == "MED", names(STAR_MED.accounts)).otherwise(
+    return F.when(F.col("l_linestatus") == "O", names(STAR_MED.accounts)).otherwise(
         names(STAR_ODO.accounts)
     )

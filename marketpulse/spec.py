@@ -60,6 +60,7 @@ class SegmentSpec:
     regions: tuple[Category, ...]
     accounts: tuple[Account, ...]
     missing_account_is_zero: bool
+    share_of_headline: bool
     income_label: str = "Receitas de Contraprestações"
     expense_label: str = "Despesa Assistencial"
     result_label: str = "Resultado Operacional"
@@ -206,6 +207,7 @@ MED = SegmentSpec(
     regions=REGIONS_MED,
     accounts=ACCOUNTS_MED,
     missing_account_is_zero=True,
+    share_of_headline=True,
 )
 
 ODO = SegmentSpec(
@@ -228,6 +230,7 @@ ODO = SegmentSpec(
     regions=REGIONS_ODO,
     accounts=ACCOUNTS_ODO,
     missing_account_is_zero=False,
+    share_of_headline=False,
     income_label="Receitas de Contraprestações Odonto",
     expense_label="Despesa Assistencial Odonto",
 )
