@@ -21,7 +21,7 @@ from marketpulse.schema import dimension
 from marketpulse.sources.inputs import Inputs
 from marketpulse.spec import Category, SegmentSpec, pick
 
-POSITION = ("segmento", "registro", "modalidade", "ano_tri")
+POSITION = ("registro", "modalidade", "ano_tri")
 METRICS = ("receita_de_contraprestacoes", "despesa_assistencial", "resultado_operacional")
 
 
@@ -29,8 +29,10 @@ def _roles(specs: Sequence[SegmentSpec]) -> list[str]:
     return list(dict.fromkeys(a.papel for s in specs for a in s.accounts))
 
 
-def positions(ledger: DataFrame, specs: Sequence[SegmentSpec]) -> DataFrame:
-    """One row per operator, modality and quarter, one column per account role.
+def by_account(
+    ledger: DataFrame, specs: Sequence[SegmentSpec], keys: Sequence[str]
+) -> DataFrame:
+    """The ledger summed by segment and ``keys``, one column per account role.
 
     The accounts are known, so the pivot is one aggregation with partial sums.
     A missing account stays null. A segment's result uses its own roles only,
@@ -40,7 +42,7 @@ def positions(ledger: DataFrame, specs: Sequence[SegmentSpec]) -> DataFrame:
         r: sorted({a.conta for s in specs for a in s.accounts if a.papel == r})
         for r in _roles(specs)
     }
-    return ledger.groupBy(*POSITION).agg(
+    return ledger.groupBy("segmento", *keys).agg(
         *[
             sum_where(F.col("class_conta").isin(names), F.col("saldo_cents")).alias(r)
             for r, names in contas.items()
@@ -58,10 +60,13 @@ def _result(spec: SegmentSpec) -> Column:
     return reduce(lambda a, b: a + b, [term(a.papel, a.sinal) for a in spec.accounts])
 
 
+def positions(ledger: DataFrame, specs: Sequence[SegmentSpec]) -> DataFrame:
+    """One row per operator, modality and quarter, one column per account role."""
+    return by_account(ledger, specs, POSITION)
+
+
 def with_result(table: DataFrame, specs: Sequence[SegmentSpec]) -> DataFrame:
-    return table.withColumns(
-        {"ano": F.year("ano_tri"), "res_op": pick(specs, _result)}
-    )
+    return table.withColumn("res_op", pick(specs, _result))
 
 
 def ledger_wide(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
@@ -77,6 +82,7 @@ def operating_result(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """``ledger_wide`` with the year and the operating result of each row."""
     (spec,) = specs
     table = with_result(positions(inputs.ledger(specs), specs), specs)
+    table = table.withColumn("ano", F.year("ano_tri"))
     if spec.missing_account_is_zero:
         table = table.fillna(0, subset=_roles(specs))
     return table.withColumnsRenamed({a.papel: a.conta for a in spec.accounts})
@@ -113,10 +119,31 @@ def _fin_years(specs: Sequence[SegmentSpec]) -> set[int]:
     return {y for s in specs for y in s.fin_years}
 
 
+def yearly_rows(
+    ledger: DataFrame, specs: Sequence[SegmentSpec], by_operator: bool = False
+) -> DataFrame:
+    """Rows to be summed by year, with their operating result.
+
+    Where a missing account voids the result, they are whole positions. Where
+    it counts as 0 the result is additive, so those segments are summed to
+    years (and operators, if asked for) in the same aggregation, before
+    anything is shuffled.
+    """
+    voids = [s.segmento for s in specs if not s.missing_account_is_zero]
+    needed = F.col("segmento").isin(voids)
+    masked = [c for c in POSITION if not (by_operator and c == "registro")]
+    ledger = ledger.withColumn("ano", F.year("ano_tri"))
+    ledger = ledger.withColumns({c: F.when(needed, F.col(c)) for c in masked})
+    return with_result(by_account(ledger, specs, ("ano", *POSITION)), specs)
+
+
 def _rows(
-    inputs: Inputs, specs: Sequence[SegmentSpec], years: Collection[int] | None = None
+    inputs: Inputs,
+    specs: Sequence[SegmentSpec],
+    years: Collection[int] | None = None,
+    by_operator: bool = False,
 ) -> DataFrame:
-    return with_result(positions(inputs.ledger(specs, years), specs), specs)
+    return yearly_rows(inputs.ledger(specs, years), specs, by_operator)
 
 
 def finance_year(
@@ -149,7 +176,7 @@ def finance_series(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
 
 def finance_members(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """Gross income, expense and result of the members in the two compared years."""
-    rows = _rows(inputs, specs, _fin_years(specs)).filter(is_fin_year(specs))
+    rows = _rows(inputs, specs, _fin_years(specs), by_operator=True).filter(is_fin_year(specs))
     rows = flag_members(rows, inputs.members(specs)).filter(F.col("associada") == 1)
     sums = rows.groupBy("segmento", "ano").agg(*yearly(rows))
     return sums.select(
@@ -181,7 +208,7 @@ def finance_modality(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """Operators of the finance modality: the three metrics in the two compared years."""
     ledger = inputs.ledger(specs, _fin_years(specs))
     ledger = ledger.filter(F.col("modalidade") == pick(specs, lambda s: s.finance_modality))
-    rows = with_result(positions(ledger, specs), specs)
+    rows = yearly_rows(ledger, specs)
     sums = rows.groupBy("segmento", "ano").agg(*yearly(rows))
     table = sums.select(
         "segmento",
@@ -260,7 +287,7 @@ def finance_var_cells(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame
 def finance_indicators(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """One row per segment with every financial headline, from one pass over the ledger."""
     income, expense, _ = METRICS
-    rows = _rows(inputs, specs, _fin_years(specs)).filter(is_fin_year(specs))
+    rows = _rows(inputs, specs, _fin_years(specs), by_operator=True).filter(is_fin_year(specs))
     rows = flag_members(rows, inputs.members(specs))
     is_member = F.col("associada") == 1
     sums = rows.groupBy("segmento", "ano").agg(

@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # One session builds some fifty results; the default cache of compiled stages holds 100.
+    "spark.sql.codegen.cache.maxEntries": "2000",
+    # Call sites of every column expression are recorded for error messages only.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

@@ -160,9 +160,13 @@ class StarInputs:
     def __init__(self, spark: SparkSession, directory: str) -> None:
         self.spark = spark
         self._directory = directory.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self._directory}/{name}.parquet")
+        if name not in self._tables:
+            path = f"{self._directory}/{name}.parquet"
+            self._tables[name] = self.spark.read.schema(TABLES[name]).parquet(path)
+        return self._tables[name]
 
     def enrolment(
         self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
