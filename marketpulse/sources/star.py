@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketpulse.sources.inputs import DIMENSIONS
 from marketpulse.sources.members import read_members
 from marketpulse.spec import (
     ACCOUNTS_MED,
@@ -173,16 +174,20 @@ class StarInputs:
     ) -> DataFrame:
         orders = self._table("orders").filter(_ordered_in(quarters))
         lines = self._table("lineitem").filter(_only(specs))
-        out = {
-            "segmento": _segment(),
-            "competencia": _quarter_of_order(),
-        }
-        if "registro" in dims:
-            out["registro"] = F.col("o_custkey").cast("string")
         if {"operadora", "modalidade"} & set(dims):
             customer = self._table("customer")
             orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-            out |= {"operadora": F.col("c_name"), "modalidade": F.col("c_mktsegment")}
+        # What depends on the order alone is computed once per order, before its lines join.
+        of_order = {
+            "registro": F.col("o_custkey").cast("string"),
+            "operadora": F.col("c_name"),
+            "modalidade": F.col("c_mktsegment"),
+        }
+        orders = orders.select(
+            "o_orderkey",
+            _quarter_of_order().alias("competencia"),
+            *[c.alias(n) for n, c in of_order.items() if n in dims],
+        )
         fact = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         if "regiao" in dims:
             # One join per stored table: each side's size is then known from its
@@ -192,10 +197,11 @@ class StarInputs:
                 .join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
                 .join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
             )
-            out["regiao"] = F.coalesce("r_name", F.lit(UNIDENTIFIED_REGION))
-        keep = [c for c in out if c in ("segmento", "competencia") or c in dims]
+            fact = fact.withColumn("regiao", F.coalesce("r_name", F.lit(UNIDENTIFIED_REGION)))
         return fact.select(
-            *[out[c].alias(c) for c in keep],
+            _segment().alias("segmento"),
+            "competencia",
+            *[d for d in DIMENSIONS if d in dims],
             F.col("l_quantity").cast("long").alias("beneficiarios"),
         )
 
@@ -222,6 +228,7 @@ class StarInputs:
             orders = orders.filter(
                 _ordered_in(date(y, m, 1) for y in years for m in (1, 4, 7, 10))
             )
+        orders = orders.select("o_orderkey", _quarter_of_order().alias("ano_tri"))
         lines = self._table("lineitem").filter(_only(specs))
         rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         number = (F.col("l_orderkey") + F.col("l_linenumber")) % len(ACCOUNT_CLASSES)
@@ -235,7 +242,7 @@ class StarInputs:
             _segment().alias("segmento"),
             F.col("l_suppkey").cast("string").alias("registro"),
             modality.alias("modalidade"),
-            _quarter_of_order().alias("ano_tri"),
+            "ano_tri",
             _account_name(number).alias("class_conta"),
             F.when(number.isin(negative), -amount).otherwise(amount).alias("saldo_cents"),
         )
