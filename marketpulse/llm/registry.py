@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketpulse.llm import decontaminate, quality, repetition, toxicity
+from marketpulse.llm import bpe, decontaminate, htmltext, quality, repetition, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,12 @@ def _over(operator: Callable[..., DataFrame], *names: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": _over(htmltext.extract, "pages"),
     "op3_quality_classifier": _over(quality.report, "documents", "labels"),
     "op4_decontamination": _over(decontaminate.report, "documents", "benchmark"),
     "op5_repetition_rules": _over(repetition.report, "documents"),
+    "op6_bpe": _over(bpe.report, "documents"),
+    "op9_token_files": _over(tokenfiles.report, "documents"),
     "op10_toxicity": _over(toxicity.report, "documents", "labels"),
 }
 
