@@ -57,6 +57,7 @@ DROPPED_WORDS = frozenset(
 #: Words that name the container of the article, if no article element does.
 CONTAINER_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 _KEPT_TAGS = frozenset(("html", "body", "main", "article"))
+_NAMED = frozenset(("div", "section", "td"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
 #: An element that ends an open one of these, looked for up to the nearest of the boundaries.
@@ -155,7 +156,7 @@ class _Lines(HTMLParser):
         if not marked and tag == "article" and not article:
             self.names += 1
             article = self.names
-        elif not marked and (tag == "main" or (tag in BLOCK and not found.isdisjoint(CONTAINER_WORDS))):
+        elif not marked and (tag == "main" or (tag in _NAMED and not found.isdisjoint(CONTAINER_WORDS))):
             self.names += 1
             container = self.names
         if marked and not top.marked:
@@ -221,7 +222,7 @@ def select(found: list[Line]) -> list[str]:
         return []
     ratio = np.array([0.0 if x.marked else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in found])
     smoothed = smooth(ratio)
-    content = (smoothed >= min(smoothed.std(), smoothed.max())) & np.array([not x.marked for x in found])
+    content = (smoothed >= min(smoothed.std(), smoothed.max())) & (ratio > 0)
     mass = np.where(content, smoothed * [len(x.text) for x in found], 0.0)
     for kind in ("article", "container"):
         names = np.array([getattr(x, kind) for x in found])

@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketpulse.llm import bpe, decontaminate, htmltext, quality, repetition, tokenfiles, toxicity
+from marketpulse.llm import (
+    bpe,
+    decontaminate,
+    htmltext,
+    licenses,
+    quality,
+    repetition,
+    secrets_scan,
+    tokenfiles,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +31,12 @@ def _over(operator: Callable[..., DataFrame], *names: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": _over(htmltext.extract, "pages"),
+    "op2_secret_scan": _over(secrets_scan.report, "documents"),
     "op3_quality_classifier": _over(quality.report, "documents", "labels"),
     "op4_decontamination": _over(decontaminate.report, "documents", "benchmark"),
     "op5_repetition_rules": _over(repetition.report, "documents"),
     "op6_bpe": _over(bpe.report, "documents"),
+    "op7_license_scan": _over(licenses.report, "documents"),
     "op9_token_files": _over(tokenfiles.report, "documents"),
     "op10_toxicity": _over(toxicity.report, "documents", "labels"),
 }
