@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -246,8 +246,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, ids (tokens of the text) and decoded (the text of these tokens)."""
+def encode(
+    docs: DataFrame,
+    path: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Per document: doc_id, ids (tokens of the text), decoded (the text of these tokens), and the columns to keep."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +263,15 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32)))
             decoded = pa.array([own.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
-
-    rows = frames.texts(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, decoded string")
+            others = [batch.column(f"_{c}") for c in keep]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded, *others], names)
+
+    rows = frames.texts(docs, id_col, text_col, **{f"_{c}": c for c in keep})
+    names = ["doc_id", "ids", "decoded", *(f"_{c}" for c in keep)]
+    kinds = dict(rows.dtypes)
+    kept = "".join(f", `_{c}` {kinds[f'_{c}']}" for c in keep)
+    out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, ids array<int>, decoded string{kept}")
+    return out.withColumnsRenamed({f"_{c}": c for c in keep})
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:

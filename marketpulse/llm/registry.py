@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from marketpulse.llm import (
     bpe,
     decontaminate,
     htmltext,
+    jaccard,
     licenses,
     quality,
     repetition,
@@ -37,8 +39,10 @@ QUERIES: dict[str, Query] = {
     "op5_repetition_rules": _over(repetition.report, "documents"),
     "op6_bpe": _over(bpe.report, "documents"),
     "op7_license_scan": _over(licenses.report, "documents"),
+    "op8_jaccard_join": _over(jaccard.join, "documents"),
     "op9_token_files": _over(tokenfiles.report, "documents"),
     "op10_toxicity": _over(toxicity.report, "documents", "labels"),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
