@@ -196,6 +196,8 @@ class _Lines(HTMLParser):
         return j  # places in the page are not asked for
 
     def close(self) -> None:
+        if self.rawdata.startswith("<!--"):  # a comment that never ends takes the rest of the page
+            self.rawdata = ""
         super().close()
         self._pop(1)
         self._end_line()

@@ -17,6 +17,8 @@ positions are code points. Memory follows the longest text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ MIN_REPOSITORIES = 3
 SALTS = 16
 MASK = "[SECRET]"
 
-#: kind, pattern, the group that is the value, least length of that group, whether it is a base kind
+#: kind, pattern, the group that is the value, least length of that group, whether it is a base kind, and texts of
+#: which a match has one (a search for them is cheap, and most documents have none)
 KINDS = (
     (
         "assign",
@@ -34,17 +37,40 @@ KINDS = (
         2,
         12,
         True,
+        (":", "="),
+    ),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18, True, ("AKIA",)),
+    ("hex", r"[0-9a-f]{16,}", 0, 16, True, ()),
+    ("bearer", r"(?:[Bb]earer|BEARER)\x20+([A-Za-z0-9+/_.=~-]{20,})", 1, 20, False, ("earer ", "EARER ")),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, False, ("eyJ",)),
+    (
+        "prefixed",
+        r"(?:gh[opsru]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{20,}",
+        0,
+        24,
+        False,
+        ("gh", "glpat-", "xox", "sk_live_", "AIza"),
+    ),
+    ("url", r"[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@", 1, 6, False, ("://",)),
+    (
+        "key",
+        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{64,}",
+        0,
+        90,
+        False,
+        ("PRIVATE KEY-----",),
     ),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18, True),
-    ("hex", r"[0-9a-f]{16,}", 0, 16, True),
-    ("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=~-]{20,})", 1, 20, False),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, False),
-    ("prefixed", r"(?:gh[opsru]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{20,}", 0, 24, False),
-    ("url", r"[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@", 1, 6, False),
-    ("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{64,}", 0, 90, False),
 )
 
 
+def _matches(text: Column, pattern: str, needles: Sequence[str]) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if not needles:
+        return found
+    has = reduce(or_, (F.contains(text, F.lit(n)) for n in needles))
+    return F.when(has, found).otherwise(F.array().cast("array<string>"))
+
+
 def _starts(text: Column, pattern: str, matches: Column) -> Column:
     """Where each match begins: the texts between matches and the matches before it, added up."""
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
@@ -83,7 +109,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The frame with `found`: (start, rank, end, kind, hash) of each candidate, in order of start and then kind."""
     text = F.col("_text")
     frame = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    frame = frame.withColumns({f"_match_{kind}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for kind, p, *_ in KINDS})
+    frame = frame.withColumns({f"_match_{kind}": _matches(text, p, needles) for kind, p, *_, needles in KINDS})
     frame = frame.withColumns(
         {
             f"_start_{kind}": F.when(F.size(f"_match_{kind}") > 0, _starts(text, p, F.col(f"_match_{kind}")))
@@ -149,7 +175,7 @@ def _listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Digests of each document's spans."""
     found, known = F.col("found"), F.col("examples")
-    base_kinds = sum(base for *_, base in KINDS)
+    base_kinds = sum(base for *_, base, _ in KINDS)
     base = F.filter(found, lambda x: x["rank"] < base_kinds)
     live = F.filter(found, lambda x: ~_is_example(x, known))
     shown = F.filter(found, lambda x: (x["rank"] < base_kinds) | ~_is_example(x, known))
@@ -175,24 +201,27 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
     Columns stay as they are, but for the text and its length. Only texts that hold a candidate are shuffled.
     """
     known = scan(docs, id_col, text_col).where(F.col("examples").isNotNull())
-    known = known.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("examples"))).alias("_examples"))
-    text = F.col(text_col)
-    marked = candidates(docs, text_col).withColumnRenamed("found", "_found")
-    clean = marked.where(F.size("_found") == 0).select(*docs.columns)
-    held = marked.where(F.size("_found") > 0).withColumn("_key", _key(F.col(id_col)))
-    held = held.join(known.withColumnRenamed("key", "_key"), "_key", "left")
-    spans = F.filter("_found", lambda x: ~_is_example(x, F.col("_examples")))
+    known = known.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("examples"))).alias("examples"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), _key(docs[id_col]).alias("key"), docs[text_col].alias("text")
+    )
+    marked = candidates(rows)
+    clean = marked.where(F.size("found") == 0).select("row")
+    held = marked.where(F.size("found") > 0).join(known, "key", "left")
+    spans = F.filter("found", lambda x: ~_is_example(x, F.col("examples")))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
         new = F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))
         out = F.when(x["start"] >= acc["at"], new).otherwise(acc["out"])  # else it overlaps the span before
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    rest = F.aggregate(
+    masked = F.aggregate(
         spans, first, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text)))
     )
-    held = held.withColumn(text_col, rest)
+    held = held.select("row", masked.alias("masked"))
+    row = F.col("row").withField(text_col, F.col("masked"))
     if n_chars_col in docs.columns:
-        held = held.withColumn(n_chars_col, F.char_length(text_col).cast(docs.schema[n_chars_col].dataType))
-    return clean.unionByName(held.select(*docs.columns))
+        row = row.withField(n_chars_col, F.char_length("masked").cast(docs.schema[n_chars_col].dataType))
+    return clean.union(held.select(row.alias("row"))).select("row.*")
