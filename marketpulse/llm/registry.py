@@ -19,6 +19,9 @@ from marketpulse.llm import (
     tokenfiles,
     toxicity,
 )
+from marketpulse.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,5 +47,3 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": _over(toxicity.report, "documents", "labels"),
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLE: dict[str, str] = {}
