@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
 def round_to(x: Column, digits: int) -> Column:
-    """Round half up on the binary value; the same result on every engine that has ``floor``."""
+    """Round half up after scaling, in doubles; the same on every engine that has ``floor``.
+
+    Scaling may round first: 1.115, which is stored just below, becomes 1.12.
+    """
     scale = 10.0**digits
     return F.floor(x * scale + 0.5) / F.lit(scale)
 
@@ -47,6 +53,40 @@ def guarded_sum(x: Column, where: Column | None = None) -> Column:
     return F.when(holes == 0, F.sum(F.when(where, x)))
 
 
+def sum_with_holes(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
+    """Rows summed by ``keys``; keys with a missing value among their rows keep a row without value.
+
+    Plain and guarded sums over the result are those over the rows themselves.
+    """
+    x = F.col(measure)
+    sums = df.groupBy(*keys).agg(
+        F.sum(x).alias("_sum"), F.count(F.lit(1)).alias("_rows"), F.count(x).alias("_values")
+    )
+    nothing = F.lit(None).cast(df.schema[measure].dataType)
+    total = F.col("_sum").cast(df.schema[measure].dataType)
+    values = (
+        F.when(F.col("_rows") == F.col("_values"), F.array(total))
+        .when(F.col("_values") == 0, F.array(nothing))
+        .otherwise(F.array(total, nothing))
+    )
+    return sums.select(*keys, F.explode(values).alias(measure))
+
+
+def whole_number(text: Column, thousands: str = "") -> Column:
+    """Count in a text cell; null for anything that is not a whole number.
+
+    ``thousands`` is the mark between groups of three digits, if the cells have one.
+    """
+    if thousands:
+        mark = re.escape(thousands)
+        grouped = text.rlike(rf"^\s*-?[0-9]{{1,3}}({mark}[0-9]{{3}})+\s*$")
+        text = F.when(grouped, F.replace(text, F.lit(thousands), F.lit(""))).otherwise(
+            F.when(~text.contains(thousands), text)
+        )
+    number = text.try_cast("decimal(38,6)")
+    return F.when(number == F.floor(number), number).try_cast("long")
+
+
 def share_of(x: Column, over: WindowSpec) -> Column:
     """x over the total of its window; null if any part of the total is missing."""
     complete = F.count(F.lit(1)).over(over) == F.count(x).over(over)

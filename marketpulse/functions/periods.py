@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Collection
 from datetime import date
 
 from pyspark.sql import Column
@@ -13,6 +15,9 @@ MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out",
 # Fixed value: a period column of an operator crosstab, e.g. mar_15.
 PERIOD_COLUMN = r"[a-z]{3}_[0-9]{2}"
 
+# Months that close a quarter; counts of other months are stocks of the same lives.
+QUARTER_ENDS = (3, 6, 9, 12)
+
 # Two-digit years from this one on belong to the 20th century.
 CENTURY_PIVOT = 69
 
@@ -41,6 +46,21 @@ def label_of(quarter: date, sep: str = "_") -> str:
     return f"{MONTHS[quarter.month + 1]}{sep}{quarter.year % 100:02d}"
 
 
+def quarter_of_label(text: str, months: Collection[int] = QUARTER_ENDS) -> date | None:
+    """``mar_22`` -> its quarter's first day, as a known date; None for other texts and months."""
+    found = re.fullmatch(r"([a-z]{3})[/_ ]([0-9]{2})", text.strip().lower())
+    if not found or found[1] not in MONTHS or MONTHS.index(found[1]) + 1 not in months:
+        return None
+    month, yy = MONTHS.index(found[1]) + 1, int(found[2])
+    return date(yy + (1900 if yy >= CENTURY_PIVOT else 2000), (month - 1) // 3 * 3 + 1, 1)
+
+
+def is_month_of(text: Column, months: Collection[int] = QUARTER_ENDS) -> Column:
+    """Whether a period label names one of the months."""
+    name = F.substring(F.lower(F.trim(text)), 1, 3)
+    return name.isin([MONTHS[m - 1] for m in months])
+
+
 def quarter_of(text: Column) -> Column:
     """``mar/22`` or ``mar_22`` -> ``2022-01-01``; null if the text is no period label."""
     parts = F.split(F.lower(F.trim(text)), "[/_ ]")

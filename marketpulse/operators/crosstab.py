@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.functions.numeric import sum_where
-from marketpulse.functions.periods import PERIOD_COLUMN, quarter_of
-from marketpulse.spec import Category
+from marketpulse.functions.numeric import sum_where, whole_number
+from marketpulse.functions.periods import QUARTER_ENDS, is_month_of, quarter_of, quarter_of_label
 
 # Names of the margins of a published crosstab.
 MARGIN_ROW = "TOTAL"
@@ -61,12 +59,6 @@ def wide(
     return fact.groupBy("segmento", *linha).agg(*cells, F.sum(MEASURE).alias(MARGIN_COLUMN))
 
 
-def category_columns(
-    categories: Sequence[Category], *extra: tuple[object, str]
-) -> list[tuple[object, str]]:
-    return [(c.key, c.column) for c in categories] + list(extra)
-
-
 def add_margin_row(table: DataFrame, linha: str) -> DataFrame:
     """Append the TOTAL row of each segment to a wide crosstab."""
     keys = {"segmento", linha}
@@ -88,34 +80,70 @@ def union_extracts(extracts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), extracts)
 
 
+def unite(facts: Sequence[DataFrame]) -> DataFrame:
+    """One fact of several requests. A cell that two of them give is an error, not a choice."""
+    union = union_extracts(facts)
+    keys = [c for c in union.columns if c != MEASURE]
+    cells = union.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(MEASURE).alias(MEASURE))
+    where = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys])
+    twice = F.raise_error(F.concat(F.lit("a cell is given twice: "), where)).cast("long")
+    return cells.select(*keys, F.when(F.col("_n") > 1, twice).otherwise(F.col(MEASURE)).alias(MEASURE))
+
+
+def totals(
+    table: DataFrame, segmento: str, competencia: date, thousands: str = ""
+) -> DataFrame | None:
+    """The published total of each operator of a snapshot, which no missing cell voids."""
+    keys = [c for c in ("registro", "operadora") if c in table.columns]
+    if not keys or MARGIN_COLUMN not in table.columns:
+        return None
+    value = whole_number(F.col(MARGIN_COLUMN), thousands).alias(MEASURE)
+    rows = table
+    for key in keys:
+        rows = rows.filter(~F.col(key).eqNullSafe(F.lit(MARGIN_ROW)))
+    return rows.select(
+        F.lit(segmento).alias("segmento"), *keys, F.lit(competencia).alias("competencia"), value
+    )
+
+
 def to_fact(
     table: DataFrame,
     coluna: str,
     segmento: str | None = None,
     competencia: date | None = None,
     keep_missing: bool = True,
+    months: Collection[int] = QUARTER_ENDS,
+    thousands: str = "",
 ) -> DataFrame:
     """Text crosstab to long fact.
 
     ``coluna`` is the dimension spread over the columns; ``competencia`` the
-    quarter of a snapshot that carries no period of its own. Cells that are no
-    number become null; ``keep_missing=False`` drops them.
+    quarter of a snapshot that carries no period of its own. Periods of other
+    ``months`` are left out. Cells that are no whole number become null;
+    ``keep_missing=False`` drops them. The periods of columns are known when
+    the header is, so no label is parsed per row.
     """
     table = strip_margins(table)
     if segmento is not None:
         table = table.withColumn("segmento", F.lit(segmento))
     keys = [c for c in ("segmento", *ROW_KEYS, "modalidade", "regiao") if c in table.columns]
-    cells = [c for c in table.columns if c not in keys]
+    cells: list[tuple[str, object]] = [(c, c) for c in table.columns if c not in keys]
     if coluna == "competencia":
-        cells = [c for c in cells if re.fullmatch(PERIOD_COLUMN, c)]
+        dated = [(c, quarter_of_label(c, months)) for c, _ in cells]
+        cells = [(c, q) for c, q in dated if q is not None]
     elif competencia is not None:
         table = table.withColumn("competencia", F.lit(competencia))
         keys.append("competencia")
     else:
-        table = table.withColumn("competencia", quarter_of(F.col("competencia")))
-    fact = table.unpivot(keys, cells, coluna, MEASURE)
-    if coluna == "competencia":
-        fact = fact.withColumn("competencia", quarter_of(F.col("competencia")))
-    value = F.col(MEASURE).try_cast("decimal(20,0)").try_cast("long")
-    fact = fact.withColumn(MEASURE, value)
+        label = F.col("competencia")
+        table = table.filter(is_month_of(label, months)).withColumn("competencia", quarter_of(label))
+    rows = [
+        F.struct(F.lit(value).alias(coluna), whole_number(F.col(c), thousands).alias(MEASURE))
+        for c, value in cells
+    ]
+    if not rows:
+        kind = "date" if coluna == "competencia" else "string"
+        nothing = {coluna: F.lit(None).cast(kind), MEASURE: F.lit(None).cast("long")}
+        return table.select(*keys, *[x.alias(n) for n, x in nothing.items()]).limit(0)
+    fact = table.select(*keys, F.inline(F.array(*rows)))
     return fact if keep_missing else fact.filter(F.col(MEASURE).isNotNull())

@@ -6,9 +6,19 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
-from marketpulse.plans import crosstabs, enrolment, finance, individual, kpi, modality, region
+from marketpulse.plans import (
+    crosstabs,
+    enrolment,
+    finance,
+    individual,
+    kpi,
+    modality,
+    readers,
+    region,
+)
+from marketpulse.operators.members import flag_members
 from marketpulse.sources.inputs import Inputs
-from marketpulse.spec import SegmentSpec, one
+from marketpulse.spec import SegmentSpec, one, snapshots
 
 Job = Callable[[Inputs, Sequence[SegmentSpec]], DataFrame]
 
@@ -26,10 +36,10 @@ def member_list(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
 
 
 def member_flag(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
-    """The flag of every operator that the current snapshot has."""
-    return crosstabs.operator_total(inputs, specs).select(
-        "segmento", "competencia", "registro", "associada"
-    )
+    """The flag of every operator of the two compared snapshots."""
+    fact = inputs.enrolment(specs, {"registro"}, snapshots(specs, "current", "prior"))
+    operators = fact.select("segmento", "competencia", "registro").distinct()
+    return flag_members(operators, inputs.members(specs))
 
 
 JOBS: dict[str, Job] = {
@@ -81,4 +91,38 @@ JOBS: dict[str, Job] = {
     "q39_member_count": kpi.member_count,
     "q40_share_labels": enrolment.share_labels,
     "q42_kpi_table": kpi.kpi_table,
+    "q43_result_long_layout": _med(readers.result_of_long_layout),
+    "q44_result_wide_layout": _odo(readers.result_of_wide_layout),
+    "q45_share_of_requests": _odo(readers.share_of_requests),
+    "q46_share_with_gaps": readers.share_with_gaps,
 }
+
+#: Segments without which a job has no result; the others take either segment alone.
+_ONLY_MED = (
+    "q04_ledger_wide",
+    "q10_share_modality",
+    "q12_result_med",
+    "q17_finance_modality",
+    "q32_member_coverage",
+    "q43_result_long_layout",
+)
+_ONLY_ODO = (
+    "q10o_share_modality",
+    "q11_share_total",
+    "q13_result_odo",
+    "q18_finance_total",
+    "q30_members_lives_odo",
+    "q44_result_wide_layout",
+    "q45_share_of_requests",
+)
+_BOTH = ("q27_individual", "q28_individual_total", "q29_members_lives_med", "q42_kpi_table")
+NEEDS: dict[str, frozenset[str]] = {
+    **{name: frozenset({"MED"}) for name in _ONLY_MED},
+    **{name: frozenset({"ODO"}) for name in _ONLY_ODO},
+    **{name: frozenset({"MED", "ODO"}) for name in _BOTH},
+}
+
+
+def lacks(name: str, specs: Sequence[SegmentSpec]) -> frozenset[str]:
+    """Segments that the job needs and that are not among the specs."""
+    return NEEDS.get(name, frozenset()) - {s.segmento for s in specs}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,16 +32,16 @@ from marketpulse.spec import SegmentSpec, all_quarters, pick, quarter_range, sna
 def _flagged_panel(
     inputs: Inputs, specs: Sequence[SegmentSpec], quarters: Sequence[date]
 ) -> DataFrame:
+    """The panel, a row per operator and a column per quarter, with the member flag."""
     anchor = {q for s in specs for q in s.anchor_quarters}
     fact = inputs.enrolment(specs, {"registro", "operadora"}, anchor | set(quarters))
-    panel = flag_members(anchored_panel(fact, specs, quarters), inputs.members(specs))
-    return panel_rows(panel, quarters)
+    return flag_members(anchored_panel(fact, specs, quarters), inputs.members(specs))
 
 
 def operator_panel(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """Every anchored operator in every requested quarter, 0 where it has no lives."""
     quarters = all_quarters(specs)
-    rows = _flagged_panel(inputs, specs, quarters)
+    rows = panel_rows(_flagged_panel(inputs, specs, quarters), quarters)
     rows = rows.withColumn("competencia", F.col("competencia").cast("date"))
     return keep_requested(rows, specs, quarters).select(
         "segmento", "registro", "operadora", "associada", "competencia", "beneficiarios"
@@ -53,10 +54,13 @@ def market_series(
     """segmento, competencia, mercado, associadas over the panel.
 
     ``associadas`` is null throughout when no member is in the panel, and 0 in
-    a quarter in which the panel's members have no lives.
+    a quarter in which the panel's members have no lives. Operators are summed
+    by their flag before the quarters become rows.
     """
     quarters = quarters or all_quarters(specs)
-    rows = _flagged_panel(inputs, specs, quarters)
+    panel = _flagged_panel(inputs, specs, quarters)
+    sums = [F.sum(q.isoformat()).alias(q.isoformat()) for q in quarters]
+    rows = panel_rows(panel.groupBy("segmento", "associada").agg(*sums), quarters)
     lives = F.col("beneficiarios")
     totals = rows.groupBy("segmento", "competencia").agg(
         F.sum(lives).alias("mercado"),
@@ -176,13 +180,21 @@ def share_of_total(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
 
 
 def share_labels(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
-    """The share that each segment's page shows, with its labels, in one pass.
+    """The share that each segment's page shows, with its labels.
 
-    The medical page shows the headline modality, the dental one all lives.
+    The medical page shows the headline modality, the dental one all lives, from
+    the published totals where there are any.
     """
-    fact = inputs.enrolment(specs, {"registro", "modalidade"}, snapshots(specs, "current"))
-    fact = fact.filter(is_at(specs, "current"))
-    wanted = pick(specs, lambda s: _is_headline(s) if s.share_of_headline else F.lit(True))
-    shares = share_by_flag(fact, inputs.members(specs), wanted)
+    if getattr(inputs, "published_totals", False):
+        headline = [s for s in specs if s.share_of_headline]
+        total = [s for s in specs if not s.share_of_headline]
+        parts = [share_of_headline(inputs, headline)] if headline else []
+        parts += [share_of_total(inputs, total)] if total else []
+        shares = reduce(DataFrame.unionByName, parts)
+    else:  # both come from the same rows, in one pass
+        fact = inputs.enrolment(specs, {"registro", "modalidade"}, snapshots(specs, "current"))
+        fact = fact.filter(is_at(specs, "current"))
+        wanted = pick(specs, lambda s: _is_headline(s) if s.share_of_headline else F.lit(True))
+        shares = share_by_flag(fact, inputs.members(specs), wanted)
     name = F.when(F.col("associada") == 1, "Associadas").otherwise("Não associadas")
     return shares.withColumn("associada", name)

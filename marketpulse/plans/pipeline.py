@@ -7,18 +7,21 @@ recomputation of the inputs.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 from datetime import date
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpulse.functions.numeric import guarded_sum
-from marketpulse.plans.catalog import JOBS
-from marketpulse.sinks import write_mart, write_partitions
-from marketpulse.sources.extracts import Extract, read_extract
-from marketpulse.sources.inputs import DIMENSIONS, Inputs, LandedInputs
+from marketpulse.functions.numeric import guarded_sum, sum_with_holes
+from marketpulse.operators.crosstab import MEASURE, unite
+from marketpulse.plans.catalog import JOBS, lacks
+from marketpulse.schema import ENROLMENT
+from marketpulse.sinks import Partition, remove, write_mart, write_partitions
+from marketpulse.sources.extracts import Extract, read_extract, read_totals
+from marketpulse.sources.files import LedgerFiles, MemberFiles
+from marketpulse.sources.inputs import DIMENSIONS, Cut, Inputs, LandedInputs
 from marketpulse.spec import SegmentSpec, all_quarters
 
 SHARED_DIRECTORY = "spark.checkpoint.dir"
@@ -32,8 +35,26 @@ def shared_directory(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _enrolment_path(root: str) -> str:
-    return f"{root}/enrolment"
+#: Roll-ups of the joint cut that are landed beside it: each family of results reads its own.
+ROLL_UPS = (
+    frozenset({"registro", "operadora"}),
+    frozenset({"registro", "operadora", "modalidade"}),
+    frozenset({"registro", "regiao"}),
+    frozenset({"modalidade"}),
+    frozenset({"regiao"}),
+)
+
+
+def _enrolment_path(root: str, dims: Collection[str] = DIMENSIONS) -> str:
+    if frozenset(dims) == frozenset(DIMENSIONS):
+        return f"{root}/enrolment"
+    return f"{root}/enrolment-by-{'-'.join(d for d in DIMENSIONS if d in dims)}"
+
+
+def _of_quarters(specs: Sequence[SegmentSpec], quarters: Collection[date]):
+    """Partitions of the segments and quarters."""
+    segments, names = {s.segmento for s in specs}, {q.isoformat() for q in quarters}
+    return lambda p: p["segmento"] in segments and p["competencia"] in names
 
 
 def land_quarters(
@@ -44,28 +65,49 @@ def land_quarters(
     cells = fact.groupBy("segmento", "competencia", *DIMENSIONS).agg(
         guarded_sum(F.col("beneficiarios")).alias("beneficiarios")
     )
-    write_partitions(cells, _enrolment_path(root), ["segmento", "competencia"])
+    asked = _of_quarters(specs, quarters)
+    path = _enrolment_path(root)
+    write_partitions(cells, path, ["segmento", "competencia"], asked)
+    joint = inputs.spark.read.schema(ENROLMENT).parquet(path).filter(
+        F.col("segmento").isin([s.segmento for s in specs])
+        & F.col("competencia").isin(sorted(quarters))
+    )
+    for dims in ROLL_UPS:
+        keys = ["segmento", "competencia", *[d for d in DIMENSIONS if d in dims]]
+        rolled = sum_with_holes(joint, keys, MEASURE)
+        write_partitions(rolled, _enrolment_path(root, dims), ["segmento", "competencia"], asked)
+
 
+def land_ledger(
+    inputs: Inputs, specs: Sequence[SegmentSpec], root: str, years: Collection[int] | None = None
+) -> None:
+    """Write the ledger of some years, or all of it; other years and segments stay as they are."""
+    ledger = inputs.ledger(specs, years)
+    segments = {s.segmento for s in specs}
+
+    def asked(p: Partition) -> bool:
+        return p["segmento"] in segments and (years is None or int(p["ano"]) in years)
 
-def land_ledger(inputs: Inputs, specs: Sequence[SegmentSpec], root: str) -> None:
-    ledger = inputs.ledger(specs)
     rows = ledger.groupBy(*[c for c in ledger.columns if c != "saldo_cents"]).agg(
         F.sum("saldo_cents").alias("saldo_cents")
     )
     write_partitions(
-        rows.withColumn("ano", F.year("ano_tri")), f"{root}/ledger", ["segmento", "ano"]
+        rows.withColumn("ano", F.year("ano_tri")), f"{root}/ledger", ["segmento", "ano"], asked
     )
 
 
 def land_members(inputs: Inputs, specs: Sequence[SegmentSpec], root: str) -> None:
     """The lists row by row, so that their length can still be counted."""
-    write_partitions(inputs.members(specs), f"{root}/members", ["segmento"])
+    segments = {s.segmento for s in specs}
+    write_partitions(
+        inputs.members(specs), f"{root}/members", ["segmento"], lambda p: p["segmento"] in segments
+    )
 
 
 def landed(spark: SparkSession, root: str) -> LandedInputs:
     return LandedInputs(
         spark,
-        {frozenset(DIMENSIONS): _enrolment_path(root)},
+        {d: _enrolment_path(root, d) for d in (frozenset(DIMENSIONS), *ROLL_UPS)},
         members=f"{root}/members",
         ledger=f"{root}/ledger",
     )
@@ -81,11 +123,62 @@ def land(inputs: Inputs, specs: Sequence[SegmentSpec], root: str) -> LandedInput
 
 
 def land_extracts(
-    spark: SparkSession, extracts: Iterable[tuple[Extract, SegmentSpec]], path: str
-) -> None:
-    """Published text crosstabs of one kind -> one landed cut of the enrolment fact."""
-    for extract, spec in extracts:
-        write_partitions(read_extract(spark, extract, spec), path, ["segmento", "competencia"])
+    spark: SparkSession,
+    extracts: Iterable[tuple[Extract, SegmentSpec]],
+    path: str,
+    totals_path: str | None = None,
+) -> list[Cut]:
+    """Published text crosstabs of one kind -> one landed cut of the enrolment fact.
+
+    All requests are united before anything is written; a cell that two of them
+    give is an error. Snapshots by operator also bring the published total of
+    each operator, which becomes a cut of its own at ``totals_path``.
+    """
+    extracts = list(extracts)
+    cells = unite([read_extract(spark, extract, spec) for extract, spec in extracts])
+    cuts = [_land_cut(cells, path)]
+    if totals_path is not None:
+        found = [read_totals(spark, extract, spec) for extract, spec in extracts]
+        found = [t for t in found if t is not None]
+        if found:
+            cuts.append(_land_cut(unite(found), totals_path))
+    return cuts
+
+
+def _land_cut(cells: DataFrame, path: str) -> Cut:
+    write_partitions(cells, path, ["segmento", "competencia"])
+    return Cut(frozenset(set(cells.columns) & set(DIMENSIONS)), path)
+
+
+def land_files(
+    spark: SparkSession,
+    root: str,
+    crosstabs: Mapping[str, Sequence[tuple[Extract, SegmentSpec]]],
+    members: Sequence[MemberFiles],
+    ledgers: Sequence[LedgerFiles],
+) -> LandedInputs:
+    """Raw files of every kind -> landed tables, and inputs that read them.
+
+    ``crosstabs`` names each kind of request; a kind becomes a cut, and one of
+    totals if its requests are snapshots by operator.
+    """
+    cuts = []
+    for name, requests in crosstabs.items():
+        cuts += land_extracts(spark, requests, f"{root}/cut-{name}", f"{root}/cut-{name}-total")
+    lists = [m.read(spark) for m in members]
+    if lists:
+        every = lists[0]
+        for one_list in lists[1:]:
+            every = every.unionByName(one_list, allowMissingColumns=True)
+        write_partitions(every, f"{root}/members", ["segmento"])
+    rows = [ledger.read(spark) for ledger in ledgers]
+    if rows:
+        every = rows[0]
+        for one_ledger in rows[1:]:
+            every = every.unionByName(one_ledger)
+        every = every.withColumn("ano", F.year("ano_tri"))
+        write_partitions(every, f"{root}/ledger", ["segmento", "ano"])
+    return LandedInputs(spark, cuts, members=f"{root}/members", ledger=f"{root}/ledger")
 
 
 def mart_name(query: str) -> str:
@@ -96,8 +189,14 @@ def mart_name(query: str) -> str:
 def build_marts(
     inputs: Inputs, specs: Sequence[SegmentSpec], names: Iterable[str] | None = None
 ) -> dict[str, DataFrame]:
-    """The named results (all of them by default), not yet computed."""
-    return {n: JOBS[n](inputs, specs) for n in (JOBS if names is None else names)}
+    """The named results, not yet computed; by default all that the segments allow."""
+    if names is None:
+        names = [n for n in JOBS if not lacks(n, specs)]
+    names = list(names)
+    for name in names:
+        if missing := lacks(name, specs):
+            raise ValueError(f"{name} needs the segments {sorted(missing)} too")
+    return {n: JOBS[n](inputs, specs) for n in names}
 
 
 def run(
@@ -110,9 +209,14 @@ def run(
     """Land the inputs and write the marts.
 
     ``landing`` keeps the landed tables for later runs; without it they go to a
-    new folder under the cluster's shared one.
+    new folder under the cluster's shared one, which is removed at the end.
     """
     root = landing or f"{shared_directory(inputs.spark)}/inputs-{uuid4().hex}"
-    source = land(inputs, specs, root)
-    for name, table in build_marts(source, specs, names).items():
-        write_mart(table, marts, mart_name(name))
+    segments = [s.segmento for s in specs]
+    try:
+        source = land(inputs, specs, root)
+        for name, table in build_marts(source, specs, names).items():
+            write_mart(table, marts, mart_name(name), segments)
+    finally:
+        if landing is None:
+            remove(inputs.spark, root)

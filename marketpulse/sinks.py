@@ -1,32 +1,60 @@
-"""Parquet marts."""
+"""Partitioned Parquet, for landed inputs and marts."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+Partition = Mapping[str, str]
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Write ``df``, replacing the partitions it has rows for and no others.
 
+def partitions(spark: SparkSession, path: str) -> list[dict[str, str]]:
+    """The partitions that have files below ``path``, from the names of their folders."""
+    files = spark.read.schema("_none int").parquet(path).inputFiles()
+    folders = {tuple(p for p in f.split("/")[:-1] if "=" in p) for f in files}
+    return [dict(p.split("=", 1) for p in folder) for folder in sorted(folders)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_partitions(
+    df: DataFrame, path: str, by: Sequence[str], asked: Callable[[Partition], bool] | None = None
+) -> None:
+    """Write ``df``, replacing the partitions it has rows for.
+
+    ``asked`` tells which partitions the rows are meant to replace: those of
+    them that have no rows any more are removed. All others stay as they are.
     The rebalance hint gathers each partition's rows into files of the
     advisory size and splits a large partition over several tasks.
     """
+    written = Observation()
+    names = F.collect_set(F.concat_ws("/", *[F.col(c).cast("string") for c in by]))
     (
-        df.hint("rebalance", *[F.col(c) for c in by])
+        df.observe(written, names.alias("names"))
+        .hint("rebalance", *[F.col(c) for c in by])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .parquet(path)
     )
+    if asked is None:
+        return
+    kept = set(written.get["names"])
+    for old in partitions(df.sparkSession, path):
+        if asked(old) and "/".join(old[c] for c in by) not in kept:
+            remove(df.sparkSession, "/".join([path, *[f"{c}={old[c]}" for c in by]]))
 
 
-def write_mart(df: DataFrame, root: str, name: str) -> None:
-    """One named result, by segment where it has one."""
+def write_mart(df: DataFrame, root: str, name: str, segments: Sequence[str]) -> None:
+    """One named result, by segment where it has one: the given segments are replaced."""
     path = f"{root.rstrip('/')}/{name}"
     if "segmento" in df.columns:
-        write_partitions(df, path, ["segmento"])
+        write_partitions(df, path, ["segmento"], lambda p: p["segmento"] in segments)
     else:
         df.write.mode("overwrite").parquet(path)

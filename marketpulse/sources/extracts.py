@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketpulse.functions.names import clean_names
-from marketpulse.operators.crosstab import to_fact, union_extracts
+from marketpulse.functions.periods import QUARTER_ENDS
+from marketpulse.operators.crosstab import to_fact, totals, union_extracts
 from marketpulse.spec import SegmentSpec
 
 
@@ -21,26 +25,65 @@ class Extract:
     paths: tuple[str, ...]
     coluna: str
     competencia: date | None = None
+    sep: str = ","
+    thousands: str = ""
+    months: tuple[int, ...] = QUARTER_ENDS
 
 
-def read_text_crosstab(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
-    """Every cell as text. Files whose columns differ are matched by name."""
-    frames = [
-        clean_names(spark.read.option("header", True).option("sep", sep).csv(p)) for p in paths
-    ]
-    return union_extracts(frames)
+def headers(spark: SparkSession, paths: Collection[str]) -> dict[str, str]:
+    """The first line of every file, by one job over all of them."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    found = {r.path: r.header.removeprefix("\ufeff") for r in first.collect()}
+    if len(found) < len(set(paths)):
+        raise ValueError(f"{len(set(paths)) - len(found)} of the files {sorted(paths)} have no header")
+    return found
+
+
+def read_text_crosstab(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> list[DataFrame]:
+    """Every cell as text: one frame for all files that share a header."""
+    groups: dict[str, list[str]] = {}
+    for path, header in sorted(headers(spark, paths).items()):
+        groups.setdefault(header, []).append(path)
+    frames = []
+    for header, files in groups.items():
+        names = next(csv.reader([header], delimiter=sep))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        reader = spark.read.schema(schema).option("header", True).option("sep", sep)
+        frames.append(clean_names(reader.csv(files)))
+    return frames
 
 
 def read_extract(spark: SparkSession, extract: Extract, spec: SegmentSpec) -> DataFrame:
     """Long fact of one extract, holding the dimensions that the extract has.
 
-    Files are unpivoted one by one: each brings its own period columns, and
+    Files are unpivoted header by header: each brings its own period columns, and
     after the unpivot they all have the same few.
     """
     facts = [
         to_fact(
-            read_text_crosstab(spark, [p]), extract.coluna, spec.segmento, extract.competencia
+            table,
+            extract.coluna,
+            spec.segmento,
+            extract.competencia,
+            months=extract.months,
+            thousands=extract.thousands,
         )
-        for p in extract.paths
+        for table in read_text_crosstab(spark, extract.paths, extract.sep)
     ]
     return union_extracts(facts)
+
+
+def read_totals(spark: SparkSession, extract: Extract, spec: SegmentSpec) -> DataFrame | None:
+    """The total column of a snapshot by operator; None if the extract is something else."""
+    if extract.competencia is None:
+        return None
+    tables = read_text_crosstab(spark, extract.paths, extract.sep)
+    found = [totals(t, spec.segmento, extract.competencia, extract.thousands) for t in tables]
+    found = [t for t in found if t is not None]
+    return union_extracts(found) if found else None

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date
 from typing import Protocol
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketpulse.schema import ENROLMENT, LEDGER
+from marketpulse.sinks import partitions
 from marketpulse.spec import SegmentSpec
 
 DIMENSIONS = ("registro", "operadora", "modalidade", "regiao")
@@ -36,39 +38,87 @@ class Inputs(Protocol):
         """segmento, registro, modalidade, ano_tri, class_conta, saldo_cents."""
 
 
+class MissingPeriod(LookupError):
+    """A quarter that is to be compared has no data."""
+
+
+@dataclass(frozen=True)
+class Cut:
+    """A landed part of the enrolment fact: the dimensions that it has, and where it lies.
+
+    Cuts of the same dimensions may hold different quarters.
+    """
+
+    dims: frozenset[str]
+    path: str
+
+
 class LandedInputs:
     """Inputs that an earlier job landed as Parquet.
 
-    ``enrolment`` maps the dimensions of a cut to its path. A request is served
-    by the smallest cut that has all its dimensions, so a joint fact alone is
-    enough, and the marginal cuts of the published crosstabs are too. The cuts
-    are partitioned by segment and quarter: segment and period filters prune
-    directories.
+    ``enrolment`` lists cuts, or maps the dimensions of cuts to their paths. A
+    request is served by the smallest cut that has all its dimensions and all
+    of its quarters that any such cut has, so a joint fact alone is enough, and
+    the marginal cuts of the published crosstabs are too. The cuts are
+    partitioned by segment and quarter: what a cut holds is read from the names
+    of its folders, and segment and period filters prune them.
     """
 
     def __init__(
         self,
         spark: SparkSession,
-        enrolment: Mapping[frozenset[str], str],
+        enrolment: Mapping[frozenset[str], str] | Iterable[Cut],
         members: str,
         ledger: str,
     ) -> None:
         self.spark = spark
-        self._enrolment = dict(enrolment)
+        if isinstance(enrolment, Mapping):
+            enrolment = [Cut(dims, path) for dims, path in enrolment.items()]
+        self._cuts = list(enrolment)
+        self._held: dict[Cut, set[tuple[str, date]]] = {}
         self._members = members
         self._ledger = ledger
 
-    def enrolment(
+    @property
+    def published_totals(self) -> bool:
+        """Whether operators' totals lie apart from their cells."""
+        return any(cut.dims <= {"registro", "operadora"} for cut in self._cuts)
+
+    def _holds(self, cut: Cut) -> set[tuple[str, date]]:
+        """Segments and quarters of a cut."""
+        if cut not in self._held:
+            self._held[cut] = {
+                (p["segmento"], date.fromisoformat(p["competencia"]))
+                for p in partitions(self.spark, cut.path)
+            }
+        return self._held[cut]
+
+    def _choose(
         self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
-    ) -> DataFrame:
-        fitting = [cut for cut in self._enrolment if cut >= frozenset(dims)]
+    ) -> Cut:
+        fitting = [cut for cut in self._cuts if cut.dims >= frozenset(dims)]
         if not fitting:
             raise LookupError(f"no landed cut has the dimensions {sorted(dims)}")
-        cut = min(fitting, key=lambda c: (len(c), sorted(c)))
-        stored = [f for f in ENROLMENT if f.name not in DIMENSIONS or f.name in cut]
+        wanted = {(s.segmento, q) for s in specs for q in quarters}
+        known = wanted & set().union(*[self._holds(cut) for cut in fitting])
+        for s in specs:
+            for name in ("prior", "current"):
+                quarter = getattr(s, name)
+                if quarter in quarters and (s.segmento, quarter) not in known:
+                    raise MissingPeriod(f"{s.segmento} has no data for its {name} quarter {quarter}")
+        whole = [cut for cut in fitting if self._holds(cut) >= known]
+        if not whole:
+            raise LookupError(f"no single cut with {sorted(dims)} holds all of {sorted(known)}")
+        return min(whole, key=lambda c: (len(c.dims), sorted(c.dims), c.path))
+
+    def enrolment(
+        self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
+    ) -> DataFrame:
+        cut = self._choose(specs, dims, quarters)
+        stored = [f for f in ENROLMENT if f.name not in DIMENSIONS or f.name in cut.dims]
         return (
             self.spark.read.schema(T.StructType(stored))
-            .parquet(self._enrolment[cut])
+            .parquet(cut.path)
             .filter(F.col("segmento").isin([s.segmento for s in specs]))
             .filter(F.col("competencia").isin(sorted(quarters)))
             .select(
@@ -93,3 +143,41 @@ class LandedInputs:
         if years is not None:
             df = df.filter(F.col("ano").isin(sorted(years)))
         return df.drop("ano")
+
+
+class Replaced:
+    """Inputs whose ledger or enrolment comes from given frames instead."""
+
+    def __init__(
+        self,
+        inputs: Inputs,
+        ledger: DataFrame | None = None,
+        enrolment: Mapping[frozenset[str], DataFrame] | None = None,
+    ) -> None:
+        self.spark = inputs.spark
+        self._inputs = inputs
+        self._ledger = ledger
+        self._facts = enrolment
+        self.published_totals = any(d <= {"registro", "operadora"} for d in enrolment or ())
+
+    def enrolment(
+        self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
+    ) -> DataFrame:
+        if self._facts is None:
+            return self._inputs.enrolment(specs, dims, quarters)
+        chosen = min((d for d in self._facts if d >= frozenset(dims)), key=len)
+        return self._facts[chosen].filter(
+            F.col("segmento").isin([s.segmento for s in specs])
+            & F.col("competencia").isin(sorted(quarters))
+        ).select("segmento", "competencia", *[d for d in DIMENSIONS if d in dims], "beneficiarios")
+
+    def members(self, specs: Sequence[SegmentSpec]) -> DataFrame:
+        return self._inputs.members(specs)
+
+    def ledger(
+        self, specs: Sequence[SegmentSpec], years: Collection[int] | None = None
+    ) -> DataFrame:
+        if self._ledger is None:
+            return self._inputs.ledger(specs, years)
+        df = self._ledger.filter(F.col("segmento").isin([s.segmento for s in specs]))
+        return df if years is None else df.filter(F.year("ano_tri").isin(sorted(years)))

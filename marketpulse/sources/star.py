@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketpulse.functions.numeric import sum_with_holes
 from marketpulse.sources.inputs import DIMENSIONS
 from marketpulse.sources.members import read_members
 from marketpulse.spec import (
@@ -189,21 +190,36 @@ class StarInputs:
             *[c.alias(n) for n, c in of_order.items() if n in dims],
         )
         fact = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        if "regiao" in dims:
-            # One join per stored table: each side's size is then known from its
-            # files, and the lines are not shuffled for a join of small tables.
-            fact = (
-                fact.join(self._table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-                .join(self._table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-                .join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-            )
-            fact = fact.withColumn("regiao", F.coalesce("r_name", F.lit(UNIDENTIFIED_REGION)))
-        return fact.select(
+        own = [d for d in DIMENSIONS if d in dims and d != "regiao"]
+        fact = fact.select(
             _segment().alias("segmento"),
             "competencia",
-            *[d for d in DIMENSIONS if d in dims],
+            *own,
+            "l_suppkey",
             F.col("l_quantity").cast("long").alias("beneficiarios"),
         )
+        if "regiao" not in dims:
+            return fact.drop("l_suppkey")
+        # Lines are summed before their supplier is looked up, so a supplier with many of them is
+        # one row a quarter by then.
+        fact = sum_with_holes(fact, ["segmento", "competencia", *own, "l_suppkey"], "beneficiarios")
+        fact = fact.join(self._regions(), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        return fact.select(
+            "segmento",
+            "competencia",
+            *own,
+            F.coalesce("r_name", F.lit(UNIDENTIFIED_REGION)).alias("regiao"),
+            "beneficiarios",
+        )
+
+    def _regions(self) -> DataFrame:
+        """Each supplier with the name of its region."""
+        nation, region = self._table("nation"), self._table("region")
+        nation = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        supplier = self._table("supplier")
+        return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
+            "s_suppkey", "r_name"
+        )
 
     def raw_members(self, segmento: str) -> DataFrame:
         """A member list as it arrives, with its own headers and a numeric id."""
@@ -231,15 +247,26 @@ class StarInputs:
         orders = orders.select("o_orderkey", _quarter_of_order().alias("ano_tri"))
         lines = self._table("lineitem").filter(_only(specs))
         rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        number = (F.col("l_orderkey") + F.col("l_linenumber")) % len(ACCOUNT_CLASSES)
+        # Sums of whole cents by whole numbers; what is then left gets its texts.
+        amount = F.round(F.col("l_extendedprice") * 100).cast("long")
+        rows = rows.select(
+            (F.col("l_linestatus") == "O").alias("medical"),
+            "l_suppkey",
+            "ano_tri",
+            ((F.col("l_orderkey") + F.col("l_linenumber")) % len(ACCOUNT_CLASSES)).alias("number"),
+            amount.alias("amount"),
+        )
+        rows = rows.groupBy("medical", "l_suppkey", "ano_tri", "number").agg(
+            F.sum("amount").alias("amount")
+        )
+        number, amount = F.col("number"), F.col("amount")
         negative = [i for i, r in enumerate(ACCOUNT_CLASSES) if r in NEGATIVE_ROLES]
         modality = F.element_at(
             _texts([m.key for m in MODALITIES]),
             (F.col("l_suppkey") % len(MODALITIES) + 1).cast("int"),
         )
-        amount = F.round(F.col("l_extendedprice") * 100).cast("long")
         return rows.select(
-            _segment().alias("segmento"),
+            F.when(F.col("medical"), "MED").otherwise("ODO").alias("segmento"),
             F.col("l_suppkey").cast("string").alias("registro"),
             modality.alias("modalidade"),
             "ano_tri",
@@ -259,6 +286,6 @@ def _account_name(number: Column) -> Column:
         own = {a.papel: a.conta for a in ACCOUNTS_MED} | {a.papel: a.conta for a in accounts}
         return F.element_at(_texts([own[r] for r in ACCOUNT_CLASSES]), (number + 1).cast("int"))
 
-    return F.when(F.col("l_linestatus") == "O", names(STAR_MED.accounts)).otherwise(
+    return F.when(F.col("medical"), names(STAR_MED.accounts)).otherwise(
         names(STAR_ODO.accounts)
     )

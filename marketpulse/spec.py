@@ -42,7 +42,6 @@ class Account:
 @dataclass(frozen=True)
 class SegmentSpec:
     segmento: str
-    conteudo: str
     member_id: str
     first_quarter: date
     last_quarter: date
@@ -189,7 +188,6 @@ ACCOUNTS_ODO = (
 
 MED = SegmentSpec(
     segmento="MED",
-    conteudo="Assistencia Medica",
     member_id="cod_ans",
     first_quarter=date(2015, 1, 1),
     last_quarter=date(2022, 10, 1),
@@ -212,7 +210,6 @@ MED = SegmentSpec(
 
 ODO = SegmentSpec(
     segmento="ODO",
-    conteudo="Excl. Odontologico",
     member_id="numero_ans",
     first_quarter=date(2015, 1, 1),
     last_quarter=date(2022, 10, 1),

@@ -2,19 +2,101 @@
 
 from __future__ import annotations
 
-from marketpulse.functions.periods import label_of
-from marketpulse.sources.star import (
-    MODALITIES,
-    NEGATIVE_ROLES,
-    ACCOUNT_CLASSES,
-    STAR_MED,
-    STAR_ODO,
-)
+from types import SimpleNamespace as Values
+
+# The parameters and names are written out here once more, so that a wrong one in the package shows.
 
 FIRST, LAST = "DATE '1995-01-01'", "DATE '2001-07-01'"
 CURRENT, PRIOR = "DATE '2001-04-01'", "DATE '2000-04-01'"
 Y1, Y2 = 1999, 2000
-QUARTERS = STAR_MED.quarters
+#: Quarters and the names of their columns.
+QUARTERS = [
+    (f"{year}-{3 * k + 1:02d}-01", f"{name}_{year % 100:02d}")
+    for year in range(1995, 2002)
+    for k, name in enumerate(("mar", "jun", "set", "dez"))
+][:27]
+
+
+def _category(key, column, label, ordem, codigo=None):
+    return Values(key=key, column=column, label=label, ordem=ordem, codigo=codigo)
+
+
+MODALITIES = (
+    _category("AUTOMOBILE", "automobile", "Automobile", 1),
+    _category("BUILDING", "building", "Building", 2),
+    _category("FURNITURE", "furniture", "Furniture", 3),
+    _category("HOUSEHOLD", "household", "Household", 4),
+    _category("MACHINERY", "machinery", "Machinery", 5),
+)
+
+
+def _regions(america, europe):
+    return (
+        _category("AFRICA", "africa", "Africa", 1, 1),
+        _category("AMERICA", "america", "America", america, 2),
+        _category("ASIA", "asia", "Asia", 5, 3),
+        _category("EUROPE", "europe", "Europe", europe, 4),
+        _category("MIDDLE EAST", "middle_east", "Middle East", 2, 5),
+    )
+
+
+#: Accounts of the 16 classes of ledger rows.
+_SHARED = {
+    8: "outras_receitas_operacionais",
+    13: "despesa_administrativa",
+    14: "despesa_de_comercializacao",
+    15: "outras_despesas_operacionais",
+}
+CLASSES_MED = {
+    **{k: "receita_de_contraprestacoes_medica" for k in range(7)},
+    7: "contraprestacoes_de_corresponsabilidade_transferida_medica",
+    9: "outras_deducoes_medica",
+    **{k: "despesa_assistencial_medica" for k in (10, 11, 12)},
+    **_SHARED,
+}
+CLASSES_ODO = {
+    **{k: "receita_de_contraprestacoes_odonto" for k in range(7)},
+    7: "contraprestacoes_de_corresponsabilidade_transferida_odonto",
+    9: "outras_deducoes_odonto",
+    **{k: "despesa_assistencial_odonto" for k in (10, 11, 12)},
+    **_SHARED,
+}
+STAR_MED = Values(
+    segmento="MED",
+    regions=_regions(3, 4),
+    modalities=MODALITIES,
+    classes=CLASSES_MED,
+    accounts=(
+        "receita_de_contraprestacoes_medica",
+        "outras_receitas_operacionais",
+        "contraprestacoes_de_corresponsabilidade_transferida_medica",
+        "outras_deducoes_medica",
+        "despesa_assistencial_medica",
+        "despesa_administrativa",
+        "despesa_de_comercializacao",
+        "outras_despesas_operacionais",
+    ),
+    missing_account_is_zero=True,
+    income_label="Receitas de Contraprestações",
+    expense_label="Despesa Assistencial",
+    result_label="Resultado Operacional",
+)
+STAR_ODO = Values(
+    segmento="ODO",
+    regions=_regions(4, 3),
+    modalities=MODALITIES,
+    classes=CLASSES_ODO,
+    accounts=(
+        "receita_de_contraprestacoes_odonto",
+        "contraprestacoes_de_corresponsabilidade_transferida_odonto",
+        "outras_deducoes_odonto",
+        "despesa_assistencial_odonto",
+    ),
+    missing_account_is_zero=False,
+    income_label="Receitas de Contraprestações Odonto",
+    expense_label="Despesa Assistencial Odonto",
+    result_label="Resultado Operacional",
+)
 MODS = [(c.key, c.column) for c in MODALITIES]
 REGS = [(c.key, c.column) for c in STAR_MED.regions]
 REGS_ALL = [*REGS, ("nao_identificado", "nao_identificado")]
@@ -58,11 +140,10 @@ def cases(expr: str, values, cast: str = "") -> str:
 
 
 def _account_case(spec) -> str:
-    own = {a.papel: a.conta for a in STAR_MED.accounts} | {a.papel: a.conta for a in spec.accounts}
-    return cases("k", [(i, own[r]) for i, r in enumerate(ACCOUNT_CLASSES)])
+    return cases("k", sorted(spec.classes.items()))
 
 
-_NEGATIVE = ", ".join(str(i) for i, r in enumerate(ACCOUNT_CLASSES) if r in NEGATIVE_ROLES)
+_NEGATIVE = "7, 9"
 
 LEDGER = f"""
 raw_ledger AS (
@@ -87,8 +168,8 @@ def pivoted(spec) -> str:
     zero = spec.missing_account_is_zero
     cols = []
     for a in spec.accounts:
-        s = f"CAST(SUM(CASE WHEN class_conta = '{a.conta}' THEN saldo END) AS BIGINT)"
-        cols.append(f"{f'COALESCE({s}, 0)' if zero else s} AS {a.conta}")
+        s = f"CAST(SUM(CASE WHEN class_conta = '{a}' THEN saldo END) AS BIGINT)"
+        cols.append(f"{f'COALESCE({s}, 0)' if zero else s} AS {a}")
     return f"""SELECT segmento, registro, modalidade, ano_tri, {", ".join(cols)}
   FROM ledger WHERE segmento = '{spec.segmento}' GROUP BY 1, 2, 3, 4"""
 
@@ -379,7 +460,7 @@ SELECT segmento, competencia AS trimestre, {wide(REGS_ALL, "regiao")} FROM fact
 GROUP BY 1, 2""",
     "q02c_operator_by_period": f"""WITH {FACT}
 SELECT segmento, registro, operadora,
-  {wide([(q.isoformat(), label_of(q)) for q in QUARTERS], "CAST(competencia AS VARCHAR)")}
+  {wide(QUARTERS, "CAST(competencia AS VARCHAR)")}
 FROM fact GROUP BY 1, 2, 3""",
     "q02d_operator_by_modality": f"""WITH {FACT}, {MEMBERS},
 t AS (SELECT segmento, competencia, registro, operadora, {wide(MODS, "modalidade")} FROM fact
@@ -515,4 +596,20 @@ every AS (SELECT * FROM med_shares UNION ALL SELECT * FROM shares)
 SELECT segmento, CASE WHEN associada = 1 THEN 'Associadas' ELSE 'Não associadas' END AS associada,
   beneficiarios, percentual FROM every""",
     "q42_kpi_table": _kpi_table(),
+    "q46_share_with_gaps": f"""WITH {FACT}, {MEMBERS},
+by_op AS (SELECT segmento, registro,
+            CASE WHEN segmento = 'ODO' AND CAST(registro AS BIGINT) % 97 = 0 THEN NULL
+                 ELSE SUM(beneficiarios) END AS v
+          FROM fact WHERE competencia = {CURRENT} GROUP BY 1, 2),
+groups AS (SELECT segmento, {FLAG},
+             CASE WHEN COUNT(*) = COUNT(v) THEN {bsum("v")} END AS beneficiarios
+           FROM by_op {FLAGGED} GROUP BY 1, 2)
+SELECT segmento, associada, beneficiarios,
+  CASE WHEN COUNT(*) OVER w = COUNT(beneficiarios) OVER w
+       THEN {ratio("beneficiarios", "SUM(beneficiarios) OVER w")} END AS percentual
+FROM groups WINDOW w AS (PARTITION BY segmento)""",
 }
+# The same results by way of the raw layouts.
+ORACLE["q43_result_long_layout"] = ORACLE["q12_result_med"]
+ORACLE["q44_result_wide_layout"] = ORACLE["q13_result_odo"]
+ORACLE["q45_share_of_requests"] = ORACLE["q11_share_total"]
