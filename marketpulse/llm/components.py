@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketpulse.llm.frames import checkpointed
+
 
 def _digest(edges: DataFrame) -> tuple:
     sums = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -31,10 +33,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node it is connected with) of every node of the edges (a, b)."""
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    edges = edges.select(a, b).where(F.col("a") < F.col("b")).distinct().checkpoint()
+    edges = checkpointed(edges.select(a, b).where(F.col("a") < F.col("b")).distinct())
     before = _digest(edges)
     while before[0]:
-        edges = _small_star(_large_star(edges).distinct()).distinct().checkpoint()
+        edges = checkpointed(_small_star(_large_star(edges).distinct()).distinct())
         after = _digest(edges)
         if after == before:
             break

@@ -247,7 +247,7 @@ def search(
     rows = rows.selectExpr("doc_id", "text", *empty)
     parts = 0
     for phrases in blocks(items, item_id_col, item_text_col):
-        rows = rows.checkpoint() if parts else rows
+        rows = frames.checkpointed(rows) if parts else rows
         rows = rows.mapInArrow(_search(phrases), schema)
         parts += 1
     return rows if parts else rows.mapInArrow(_search(Phrases([])), schema)
@@ -307,7 +307,7 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", n_chars_co
                 batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, new)
                 yield batch.filter(pa.array(stays, pa.bool_()))
 
-        cut_to = (cut_to.checkpoint() if k else cut_to).mapInArrow(run, docs.schema)
+        cut_to = (frames.checkpointed(cut_to) if k else cut_to).mapInArrow(run, docs.schema)
     if n_chars_col in docs.columns:
         length = F.char_length(text_col).cast(docs.schema[n_chars_col].dataType)
         cut_to = cut_to.withColumn(n_chars_col, F.coalesce(length, n_chars_col))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -28,12 +29,28 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine's own if it names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        root = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read from there."""
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_root(frame.sparkSession))
+    return frame.checkpoint()
 
 
 def texts(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:

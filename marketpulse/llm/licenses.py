@@ -21,6 +21,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketpulse.llm.frames import checkpointed
+
 CONTAINMENT = 0.8
 #: Score of a document that has a base phrase but meets no template.
 PHRASE_SCORE = 0.5
@@ -176,7 +178,7 @@ def _met(read: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, starts (words at which base phrases stand), base and found (labels), best."""
-    read = _read(docs, id_col, text_col).checkpoint()  # narrow; the texts are read once
+    read = checkpointed(_read(docs, id_col, text_col))  # narrow; the texts are read once
     met = _met(read).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     return read.drop("blocks").join(met, "row", "left").drop("row")
 

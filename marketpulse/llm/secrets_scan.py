@@ -23,6 +23,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketpulse.llm.frames import checkpointed
+
 MIN_OWNERS = 3
 MIN_REPOSITORIES = 3
 SALTS = 16
@@ -157,7 +159,7 @@ def scan(
         F.concat_ws("\n", *parts).alias("repository"),
         docs[text_col].alias("text"),
     )
-    found = candidates(rows).drop("text").checkpoint()  # narrow; the texts are scanned once
+    found = checkpointed(candidates(rows).drop("text"))  # narrow; the texts are scanned once
     return found.select("doc_id", "key", "found").join(_known(found), "key", "left")
 
 
