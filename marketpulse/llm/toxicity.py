@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from marketpulse.llm import frames, labelled, words
 
-ORDERS = (3, 4, 5)
+ORDERS = (5, 6, 7)
 BITS = 20
-SMOOTHING = 2.0
-LEAST_RATIO = 0.7
+SMOOTHING = 1.0
+LEAST_RATIO = 1.2
 PENALTY = 10.0
 STEPS = 80
+RARE_WEIGHT = 0.75
 THRESHOLD = 0.7
 FOLDS, FOLD = 3, 1
 
@@ -102,11 +103,11 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarr
 def _line(sums: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift that fit probabilities to sums.
 
-    Targets are smoothed towards the classes' sizes; the rarer class counts more, by the root of how much rarer it is.
+    Targets are smoothed towards the classes' sizes; the rarer class counts more, by a power of how much rarer it is.
     """
     high, low = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
     target, a, b = np.where(y == 1, high, low), 1.0, 0.0
-    weight = np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0)
+    weight = np.where(y == 1, ((len(y) - y.sum()) / y.sum()) ** RARE_WEIGHT, 1.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * sums + b, -35, 35)))
         w = weight * np.maximum(p * (1 - p), 1e-9)
@@ -120,7 +121,7 @@ def _line(sums: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = FOLDS, fold: int = FOLD) -> Model:
     """Learn from a bounded sample of the labelled documents outside the held-out fold."""
-    sample = labelled.sample(docs, labels, label_col, folds, fold).checkpoint()
+    sample = frames.checkpointed(labelled.sample(docs, labels, label_col, folds, fold))
     size = sample.agg(F.count("*"), F.sum("label")).first()
     total, toxic = size[0], size[1] or 0
     if not 0 < toxic < total:
