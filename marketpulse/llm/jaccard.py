@@ -5,9 +5,11 @@
    reach 90 percent with any other set.
 2. Shingles are put in one order for the whole corpus: by how often their hash bucket occurs in all documents, rare
    ones first. Two sets that link share one of their first n - ceil(0.9 n) + 1 shingles. Sets that share one, and
-   whose sizes allow a link, get into one cluster: a chain of such sets, so no possible link crosses clusters.
+   whose sizes allow a link, are a group. Pairs of a group of at most GROUP sets are dropped if the parities of their
+   hashes (n / 2 bits or more) differ in more places than linked sets can; a larger group stays together. What is
+   connected then is a cluster, and no possible link crosses clusters.
 3. A cluster's sets meet in one task if they hold at most TILE_SHINGLES together. Larger ones are cut into bands of
-   size, which only neighbours can link across, and bands into tiles; a task gets one pair of tiles.
+   size, which only neighbours can link across, and large bands into parts; a task gets one pair of parts.
 4. A task builds a signature tree of its sets: leaves in order of size, nodes with the OR of their token bitmaps, the
    range of sizes, and how many tokens at most share a bit with another of their set. The tree is joined with itself
    from the top; a pair of nodes goes when sizes, or the greatest possible overlap (common bits and shared bits),
@@ -38,9 +40,12 @@ WORDS = 3
 LEAST = 90
 #: Sets below this size link with no other: one shingle more or less is too much.
 SMALLEST = LEAST // (100 - LEAST)
-BUCKET_BITS = 18
+#: Counters of shingles: a fixed number, so that they can be broadcast.
+BUCKET_BITS = 22
+PACK = 64
 TILE_SHINGLES = 2 << 20
 FAN = 8
+GROUP = 32
 PAIRS_AT_ONCE = 1 << 15
 EXACT_BYTES = 64 << 20
 
@@ -85,74 +90,159 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in frames.slices(batches):
         values, bounds = shingle_sets(batch.column("text"))
         one, two = set_names(values, bounds)
-        columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "one", "two"])
+        parity = pa.array(_parities(values, bounds), pa.list_(pa.int64()))
+        columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(one), pa.array(two), parity]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "one", "two", "parity"])
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+_PACKED = [f"n{k}" for k in range(PACK)]
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts, PACK buckets a row: small numbers side by side take little room in a shuffle."""
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in frames.slices(batches):
         values, _ = shingle_sets(batch.column("text"))
-        counts += np.bincount(_bucket(values), minlength=len(counts))
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+        np.add.at(counts, _bucket(values), 1)
+    packed = counts.reshape(-1, PACK)
+    some = np.flatnonzero(packed.any(axis=1))
+    for k in range(0, len(some), 4096):
+        part = some[k : k + 4096]
+        columns = [pa.array(part), *(pa.array(c) for c in packed[part].T.copy())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", *_PACKED])
+
+
+def bucket_levels(text: DataFrame) -> np.ndarray:
+    """For each bucket its place among all buckets in the order of their counts, in 256 steps."""
+    schema = ", ".join(f"{name} long" for name in ["row", *_PACKED])
+    sums = [F.sum(name).alias(name) for name in _PACKED]
+    counted = text.mapInArrow(_bucket_counts, schema).groupBy("row").agg(*sums).toPandas()
+    counts = np.zeros(((1 << BUCKET_BITS) // PACK, PACK), np.int64)
+    counts[counted["row"].to_numpy(np.int64)] = counted[_PACKED].to_numpy(np.int64)
+    place = np.empty(counts.size, np.int64)
+    place[np.argsort(counts.ravel(), kind="stable")] = np.arange(counts.size)
+    return (place * 256 // counts.size).astype(np.uint8)
 
 
 def prefix_size(n: int) -> int:
     return n - -(-LEAST * n // 100) + 1
 
 
-def _postings(ranks: np.ndarray):
-    """The first shingles of each set, in the order of the corpus; a task gives a set of its texts once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames.slices(batches):
-            values, bounds = shingle_sets(batch.column("text"))
-            one, _ = set_names(values, bounds)
-            rank, tokens, owners = ranks[_bucket(values)], [], []
-            _, unique = np.unique(one, return_index=True)
-            for k in unique.tolist():
-                a, b = int(bounds[k]), int(bounds[k + 1])
-                if b - a >= SMALLEST:
-                    size = prefix_size(b - a)
-                    own = rank[a:b]
-                    if size < b - a:  # ties of the rank are in the order of the hash
-                        limit = np.partition(own, size - 1)[size - 1]
-                        near = np.flatnonzero(own <= limit)
-                        near = near[np.argsort(own[near], kind="stable")][:size]
-                        tokens.append(values[a + near])
-                    else:
-                        tokens.append(values[a:b])
-                    owners += [k] * len(tokens[-1])
-            at = np.array(owners, np.int64)
-            token = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
-            size = np.diff(bounds)[at].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(one[at]), pa.array(size)], ["token", "one", "n"])
-
-    return run
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in the order of token and size: each is linked with the first of the chain that it is in."""
-    last_token = last_size = head = None
+def _postings(levels: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set, in the order of the corpus; a set of several texts of a batch once."""
+    for batch in frames.slices(batches):
+        values, bounds = shingle_sets(batch.column("text"))
+        one, _ = set_names(values, bounds)
+        level, tokens, owners = levels[_bucket(values)], [np.zeros(0, np.uint64)], []
+        _, unique = np.unique(one, return_index=True)
+        for k in unique.tolist():
+            a, b = int(bounds[k]), int(bounds[k + 1])
+            if b - a >= SMALLEST:
+                first = np.argsort(level[a:b], kind="stable")[: prefix_size(b - a)]  # ties by hash
+                tokens.append(values[a + first])
+                owners += [k] * len(first)
+        at = np.array(owners, np.int64)
+        token = np.concatenate(tokens).view(np.int64)
+        size = np.diff(bounds)[at].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(one[at]), pa.array(size)], ["token", "one", "n"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of token and size; sets that follow each other and whose sizes allow a link are a group.
+
+    A group of at most GROUP sets gives all pairs whose sizes allow a link; a larger one links each set with its
+    first, for sure, as its pairs would be too many.
+    """
+    held, large = None, False  # the rows of the last group so far; of a large one, the first
+
+    def pairs(one: np.ndarray, n: np.ndarray, start: np.ndarray, size: np.ndarray, sure: np.ndarray):
+        many = sure & (np.arange(len(one)) != start)
+        a, b = [one[start[many]]], [one[many]]
+        at = np.flatnonzero(~sure & (size > 1))
+        for d in range(1, GROUP):
+            at = at[at + d < start[at] + size[at]]
+            if not len(at):
+                break
+            near = at[100 * n[at] >= LEAST * n[at + d]]
+            a.append(one[near])
+            b.append(one[near + d])
+        flags = np.concatenate([np.ones(len(a[0]), bool), np.zeros(sum(map(len, a[1:])), bool)])
+        rows = np.stack([np.concatenate(a), np.concatenate(b), flags.astype(np.int64)], axis=1)
+        rows = np.unique(rows[rows[:, 0] != rows[:, 1]], axis=0)
+        columns = [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "sure"])
+
+    def split(token: np.ndarray, one: np.ndarray, n: np.ndarray, last: bool):
+        nonlocal held, large
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < LEAST * n[1:])
+        begin = np.flatnonzero(new)
+        count = np.diff(np.append(begin, len(token)))
+        start, size = np.repeat(begin, count), np.repeat(count, count)
+        sure = size > GROUP
+        if large:
+            sure[: count[0]] = True
+        tail = int(begin[-1])
+        if last:
+            return pairs(one, n, start, size, sure)
+        large = bool(count[-1] > GROUP or (large and tail == 0))
+        # the last group may go on: of a large one the links so far are made, and its first row and last size stay
+        done = len(token) if large else tail
+        out = pairs(one[:done], n[:done], start[:done], size[:done], sure[:done])
+        keep = [tail, len(token) - 1] if large and len(token) - 1 > tail else range(tail, len(token))
+        held = tuple(x[list(keep)] for x in (token, one, n))
+        return out
+
     for batch in batches:
-        if not batch.num_rows:
+        if batch.num_rows:
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in ("token", "one", "n")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+                # the size of a large group's first row must not end it
+                if large and len(held[0]) == 2:
+                    rows[2][0] = rows[2][1]
+            yield split(*rows, last=False)
+    if held is not None:
+        yield split(*held, last=True)
+
+
+def _parities(values: np.ndarray, bounds: np.ndarray) -> list[list[int] | None]:
+    """For each set, for each of at least n / 2 bits, whether an odd number of its hashes has it."""
+    out: list[list[int] | None] = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a < SMALLEST:
+            out.append(None)
             continue
-        token, one, n = (batch.column(c).to_numpy() for c in ("token", "one", "n"))
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1].astype(np.int64) < LEAST * n[1:].astype(np.int64))
-        new[0] = last_token is None or token[0] != last_token or 100 * int(last_size) < LEAST * int(n[0])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-        heads = np.where(start >= 0, one[start], one[0] if head is None else head)
-        pairs = np.stack([heads, one], axis=1)[heads != one]
-        last_token, last_size, head = token[-1], n[-1], heads[-1]
-        if len(pairs):
-            pairs = np.unique(pairs, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        bits = max(256, 1 << ((b - a) // 2 - 1).bit_length())
+        odd = np.bincount((values[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist())
+    return out
+
+
+def _folded(bits: Column, other: Column) -> Column:
+    """Parities of half as many bits, where the other set has half as many."""
+    half = F.size(other)
+    both = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > half, both).otherwise(bits)
+
+
+def _may_link(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that can link: sets that differ in parity differ in a hash, and linked sets in few."""
+    kept = described.where(F.col("n_shingles") >= SMALLEST).groupBy("one")
+    kept = kept.agg(F.first("n_shingles").alias("n"), F.first("parity").alias("bits"))
+    for side in ("a", "b"):
+        own = kept.select(F.col("one").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        pairs = pairs.join(own, side)
+    x, y = F.col("bits_a"), F.col("bits_b")
+    differ = F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    total = F.aggregate(differ, F.lit(0), lambda n, d: n + d)
+    most = F.col("n_a") + F.col("n_b")
+    # |A xor B| = |A| + |B| - 2 |A and B|, and 100 |A and B| >= LEAST |A or B|
+    return pairs.where((100 + LEAST) * total <= (100 - LEAST) * most).select("a", "b")
 
 
 class SignatureTree:
@@ -306,25 +396,20 @@ def _tiles(members: DataFrame) -> DataFrame:
     small = F.col("total") <= TILE_SHINGLES
     whole = members.where(small).select("rep", "one", "two", F.array(F.xxhash64("cluster")).alias("tiles"))
 
-    large = members.where(~small).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST))))
+    # Sets of a band meet those of the same and of the next lower one; a band of many parts, part by part.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST)))
+    large = members.where(~small).withColumn("band", F.explode(F.array(band, band + 1)))
     parts = F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)).cast("int")
-    bands = large.groupBy("cluster", "band").agg(parts.alias("parts"))
-    below = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    bands = bands.join(below, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left")
-    large = large.join(bands, ["cluster", "band"]).withColumn("own", F.pmod(F.xxhash64("one", "two"), "parts"))
+    bands = large.groupBy("cluster", "band").agg(parts.alias("parts"), F.count("*").alias("held"))
+    large = large.join(bands.where(F.col("held") > 1), ["cluster", "band"])
+    large = large.withColumn("own", F.pmod(F.xxhash64("one", "two"), F.col("parts")).cast("int"))
 
-    def numbers(count: Column) -> Column:
-        return F.when(F.coalesce(count, F.lit(0)) > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    def tile(k: Column) -> Column:
+        return F.xxhash64("cluster", "band", F.least("own", k), F.greatest("own", k))
 
-    def tile(kind: str, band: Column, first: Column, second: Column) -> Column:
-        return F.xxhash64(F.lit(kind), "cluster", band, first.cast("long"), second.cast("long"))
-
-    own, band = F.col("own"), F.col("band")
-    same = F.transform(numbers(F.col("parts")), lambda k: tile("same", band, F.least(own, k), F.greatest(own, k)))
-    lower = F.transform(numbers(F.col("below")), lambda k: tile("next", band, k, own))
-    upper = F.transform(numbers(F.col("above")), lambda k: tile("next", band + 1, own, k))
-    return whole.union(large.select("rep", "one", "two", F.concat(same, lower, upper).alias("tiles")))
+    large = large.withColumn("tiles", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), tile))
+    large = large.groupBy("rep", "one", "two").agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
+    return whole.union(large)
 
 
 def _clustered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,23 +430,21 @@ def links(rows: DataFrame, described: DataFrame) -> DataFrame:
     """Links (a, b) between smallest ids of classes, enough to connect every two sets that links connect."""
     spark = rows.sparkSession
     text = rows.select("text")
-    counted = text.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counted = counted.toPandas()  # at most 2**BUCKET_BITS rows
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    ranks = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
-    shared_ranks = spark.sparkContext.broadcast(ranks)
+    levels = spark.sparkContext.broadcast(bucket_levels(text))  # 2**BUCKET_BITS bytes
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _postings(shared_ranks.value)(batches)
+        yield from _postings(levels.value, batches)
 
     posted = text.mapInArrow(postings, "token long, one long, n int")
-    stars = posted.repartition("token").sortWithinPartitions("token", "n", "one").mapInArrow(_stars, "a long, b long")
-    clusters = components(stars).select(F.col("node").alias("one"), F.col("label").alias("cluster"))
+    grouped = posted.repartition("token").sortWithinPartitions("token", "n", "one")
+    near = frames.checkpointed(grouped.mapInArrow(_groups, "a long, b long, sure boolean").distinct())
+    pairs = near.where(~F.col("sure")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = near.where("sure").select("a", "b").union(_may_link(pairs, described))
+    clusters = components(near).select(F.col("node").alias("one"), F.col("label").alias("cluster"))
 
     classes = described.where(F.col("n_shingles") >= SMALLEST).groupBy("one", "two", F.col("n_shingles").alias("n"))
     members = classes.agg(F.min("doc_id").alias("rep")).join(clusters, "one")
-    tiles = _tiles(members.checkpoint())
+    tiles = _tiles(frames.checkpointed(members))
     sets = rows.join(tiles, rows["doc_id"] == tiles["rep"]).select("rep", "one", "two", "tiles", "text")
     sets = sets.mapInArrow(_clustered_sets, "rep long, tiles array<long>, found binary")
     sets = sets.select(F.explode("tiles").alias("tile"), "rep", "found")
@@ -371,7 +454,10 @@ def links(rows: DataFrame, described: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to, itself included)."""
     rows = frames.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    described = rows.mapInArrow(_describe, "doc_id long, n_shingles long, one long, two long").checkpoint()
+    described = rows.mapInArrow(
+        _describe, "doc_id long, n_shingles long, one long, two long, parity array<long>"
+    )
+    described = frames.checkpointed(described)
     named = described.where(F.col("doc_id").isNotNull())
     filled = named.where(F.col("n_shingles") > 0)
     classes = filled.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))

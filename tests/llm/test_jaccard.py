@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import SPACE_WORD, by_id_and_text, lower, no_documents, odd_documents, ordered
 
@@ -125,3 +126,25 @@ def test_components_of_long_chains(spark):
     assert len(labels) == found.count()
     assert all(label == (0 if node < 1000 else 1000) for node, label in labels.items())
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 1000])
+def test_groups_hold_every_pair_that_may_link(monkeypatch, step):
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(12), rng.choice([20, 21, 22, 40, 41, 90, 100]), k) for k in range(150))
+    batch = pa.RecordBatch.from_pydict(
+        {"token": [r[0] for r in rows], "n": [r[1] for r in rows], "one": [r[2] for r in rows]}
+    )
+    batches = [batch.slice(k, step) for k in range(0, len(rows), step)]
+    found = [r for b in jaccard._groups(iter(batches)) for r in b.to_pylist()]
+    union, pairs = Union(), {frozenset((r["a"], r["b"])) for r in found if not r["sure"]}
+    for r in found:
+        union.join(r["a"], r["b"])
+    sizes = {k: n for _, n, k in rows}
+    assert all(100 * min(sizes[a], sizes[b]) >= 90 * max(sizes[a], sizes[b]) for a, b in map(tuple, pairs))
+    for token, n, k in rows:
+        for other, m, j in rows:
+            if token == other and k != j and 100 * min(n, m) >= 90 * max(n, m):
+                assert union.find(k) == union.find(j)
+    assert any(r["sure"] for r in found) and pairs
