@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from marketpulse.llm import frames
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 CACHED_LENGTH = 40
 #: Bytes of text whose new words are encoded together.
-SHARE_BYTES = 8 << 20
+SHARE_BYTES = 4 << 20
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The word rule of byte-level tokenizers. A fixed value.

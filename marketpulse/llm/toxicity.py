@@ -34,6 +34,8 @@ STEPS = 80
 RARE_WEIGHT = 0.75
 THRESHOLD = 0.7
 FOLDS, FOLD = 3, 1
+#: Bytes of text whose n-grams are held at a time; there are three for each byte.
+SLICE_BYTES = 512 << 10
 
 _CALIBRATION = 4  # every fourth document of the sample
 
@@ -60,7 +62,7 @@ def grams(column: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarra
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class that have a feature."""
     counts = np.zeros((2, 1 << BITS), np.int64)
-    for batch in frames.slices(batches):
+    for batch in frames.slices(batches, limit=SLICE_BYTES):
         label = batch.column("label").to_numpy(zero_copy_only=False)
         owner, feature = grams(batch.column("text"))
         for kind in (0, 1):
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     def chosen_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.zeros(1 << BITS, bool)
         chosen[features] = True
-        for batch in frames.slices(batches):
+        for batch in frames.slices(batches, limit=SLICE_BYTES):
             owner, feature = grams(batch.column("text"), chosen)
             at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             found = np.searchsorted(features, feature).astype("<i4")
@@ -179,7 +181,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id and score of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames.slices(batches):
+        for batch in frames.slices(batches, limit=SLICE_BYTES):
             scores = pa.array(model.scores(batch.column("text")), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
@@ -203,7 +205,7 @@ def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames.slices(batches, text_col):
+        for batch in frames.slices(batches, text_col, SLICE_BYTES):
             yield batch.filter(pa.array(model.scores(batch.column(text_col)) < THRESHOLD, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
