@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from marketpulse.llm import bpe, decontaminate, frames, jaccard, secrets_scan, toxicity
 
+#: Near copies are documents whose sets of shingles of so many words have a Jaccard index of at least so many percent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -23,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

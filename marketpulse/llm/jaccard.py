@@ -1,4 +1,6 @@
-"""N-gram Jaccard join by signature trees: documents whose shingle sets have a Jaccard index of at least LEAST percent.
+"""N-gram Jaccard join by signature trees: documents whose shingle sets have a Jaccard index of at least `percent`.
+
+Shingles have `width` words. op8's values, WORDS and LEAST, are the defaults; figures below are theirs.
 
 1. Shingle sets are hashed (64 bits a shingle; the hashes' sums, 128 bits, name a set). Documents with equal sets form
    a class; from here on a class is one item, however many copies it has. A set of fewer than 9 shingles cannot
@@ -36,10 +38,17 @@ from pyspark.sql import functions as F
 from marketpulse.llm import frames, words
 from marketpulse.llm.components import components
 
+#: Words of a shingle and least percent of op8.
 WORDS = 3
 LEAST = 90
-#: Sets below this size link with no other: one shingle more or less is too much.
-SMALLEST = LEAST // (100 - LEAST)
+
+
+def smallest(percent: int) -> int:
+    """Sets below this size link with no other: one shingle more or less is too much."""
+    return -(-percent // (100 - percent))
+
+
+SMALLEST = smallest(LEAST)
 #: Counters of shingles: a fixed number, so that they can be broadcast.
 BUCKET_BITS = 22
 PACK = 64
@@ -50,13 +59,13 @@ PAIRS_AT_ONCE = 1 << 15
 EXACT_BYTES = 64 << 20
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after the other, and where each text's begin."""
     found = words.split(column, words.NOT_SPACE, lower=True)
     hashes, doc, counts = words.span_hashes(found.data, found.start, found.end), found.doc, found.counts
-    inside = words.gram_inside(doc, WORDS)
-    owner, values = doc[: len(inside)][inside], words.gram_hashes(hashes, WORDS)[inside]
-    for n in range(1, WORDS):  # a text of fewer words is one shingle
+    inside = words.gram_inside(doc, width)
+    owner, values = doc[: len(inside)][inside], words.gram_hashes(hashes, width)[inside]
+    for n in range(1, width):  # a text of fewer words is one shingle
         short = np.flatnonzero(counts == n)
         if len(short):
             owner = np.concatenate([owner, short])
@@ -86,11 +95,11 @@ def set_names(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return one.view(np.int64), two.view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in frames.slices(batches):
-        values, bounds = shingle_sets(batch.column("text"))
+        values, bounds = shingle_sets(batch.column("text"), width)
         one, two = set_names(values, bounds)
-        parity = pa.array(_parities(values, bounds), pa.list_(pa.int64()))
+        parity = pa.array(_parities(values, bounds, percent), pa.list_(pa.int64()))
         columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(one), pa.array(two), parity]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "one", "two", "parity"])
 
@@ -102,11 +111,11 @@ def _bucket(values: np.ndarray) -> np.ndarray:
 _PACKED = [f"n{k}" for k in range(PACK)]
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A task's counts, PACK buckets a row: small numbers side by side take little room in a shuffle."""
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in frames.slices(batches):
-        values, _ = shingle_sets(batch.column("text"))
+        values, _ = shingle_sets(batch.column("text"), width)
         np.add.at(counts, _bucket(values), 1)
     packed = counts.reshape(-1, PACK)
     some = np.flatnonzero(packed.any(axis=1))
@@ -116,11 +125,11 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(columns, ["row", *_PACKED])
 
 
-def bucket_levels(text: DataFrame) -> np.ndarray:
+def bucket_levels(text: DataFrame, width: int = WORDS) -> np.ndarray:
     """For each bucket its place among all buckets in the order of their counts, in 256 steps."""
     schema = ", ".join(f"{name} long" for name in ["row", *_PACKED])
     sums = [F.sum(name).alias(name) for name in _PACKED]
-    counted = text.mapInArrow(_bucket_counts, schema).groupBy("row").agg(*sums).toPandas()
+    counted = text.mapInArrow(lambda batches: _bucket_counts(batches, width), schema).groupBy("row").agg(*sums).toPandas()
     counts = np.zeros(((1 << BUCKET_BITS) // PACK, PACK), np.int64)
     counts[counted["row"].to_numpy(np.int64)] = counted[_PACKED].to_numpy(np.int64)
     place = np.empty(counts.size, np.int64)
@@ -128,21 +137,23 @@ def bucket_levels(text: DataFrame) -> np.ndarray:
     return (place * 256 // counts.size).astype(np.uint8)
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-LEAST * n // 100) + 1
+def prefix_size(n: int, percent: int = LEAST) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
-def _postings(levels: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(
+    levels: np.ndarray, batches: Iterator[pa.RecordBatch], width: int, percent: int
+) -> Iterator[pa.RecordBatch]:
     """The first shingles of each set, in the order of the corpus; a set of several texts of a batch once."""
     for batch in frames.slices(batches):
-        values, bounds = shingle_sets(batch.column("text"))
+        values, bounds = shingle_sets(batch.column("text"), width)
         one, _ = set_names(values, bounds)
         level, tokens, owners = levels[_bucket(values)], [np.zeros(0, np.uint64)], []
         _, unique = np.unique(one, return_index=True)
         for k in unique.tolist():
             a, b = int(bounds[k]), int(bounds[k + 1])
-            if b - a >= SMALLEST:
-                first = np.argsort(level[a:b], kind="stable")[: prefix_size(b - a)]  # ties by hash
+            if b - a >= smallest(percent):
+                first = np.argsort(level[a:b], kind="stable")[: prefix_size(b - a, percent)]  # ties by hash
                 tokens.append(values[a + first])
                 owners += [k] * len(first)
         at = np.array(owners, np.int64)
@@ -151,7 +162,7 @@ def _postings(levels: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(one[at]), pa.array(size)], ["token", "one", "n"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], percent: int = LEAST) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of token and size; sets that follow each other and whose sizes allow a link are a group.
 
     A group of at most GROUP sets gives all pairs whose sizes allow a link; a larger one links each set with its
@@ -167,7 +178,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[at + d < start[at] + size[at]]
             if not len(at):
                 break
-            near = at[100 * n[at] >= LEAST * n[at + d]]
+            near = at[100 * n[at] >= percent * n[at + d]]
             a.append(one[near])
             b.append(one[near + d])
         flags = np.concatenate([np.ones(len(a[0]), bool), np.zeros(sum(map(len, a[1:])), bool)])
@@ -179,7 +190,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def split(token: np.ndarray, one: np.ndarray, n: np.ndarray, last: bool):
         nonlocal held, large
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < LEAST * n[1:])
+        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
         begin = np.flatnonzero(new)
         count = np.diff(np.append(begin, len(token)))
         start, size = np.repeat(begin, count), np.repeat(count, count)
@@ -210,11 +221,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield split(*held, last=True)
 
 
-def _parities(values: np.ndarray, bounds: np.ndarray) -> list[list[int] | None]:
+def _parities(values: np.ndarray, bounds: np.ndarray, percent: int) -> list[list[int] | None]:
     """For each set, for each of at least n / 2 bits, whether an odd number of its hashes has it."""
     out: list[list[int] | None] = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a < SMALLEST:
+        if b - a < smallest(percent):
             out.append(None)
             continue
         bits = max(256, 1 << ((b - a) // 2 - 1).bit_length())
@@ -230,9 +241,9 @@ def _folded(bits: Column, other: Column) -> Column:
     return F.when(F.size(bits) > half, both).otherwise(bits)
 
 
-def _may_link(pairs: DataFrame, described: DataFrame) -> DataFrame:
+def _may_link(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that can link: sets that differ in parity differ in a hash, and linked sets in few."""
-    kept = described.where(F.col("n_shingles") >= SMALLEST).groupBy("one")
+    kept = described.where(F.col("n_shingles") >= smallest(percent)).groupBy("one")
     kept = kept.agg(F.first("n_shingles").alias("n"), F.first("parity").alias("bits"))
     for side in ("a", "b"):
         own = kept.select(F.col("one").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
@@ -241,14 +252,15 @@ def _may_link(pairs: DataFrame, described: DataFrame) -> DataFrame:
     differ = F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     total = F.aggregate(differ, F.lit(0), lambda n, d: n + d)
     most = F.col("n_a") + F.col("n_b")
-    # |A xor B| = |A| + |B| - 2 |A and B|, and 100 |A and B| >= LEAST |A or B|
-    return pairs.where((100 + LEAST) * total <= (100 - LEAST) * most).select("a", "b")
+    # |A xor B| = |A| + |B| - 2 |A and B|, and 100 |A and B| >= percent |A or B|
+    return pairs.where((100 + percent) * total <= (100 - percent) * most).select("a", "b")
 
 
 class SignatureTree:
     """Levels of nodes, leaves first; a node has FAN children that follow each other."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
+    def __init__(self, sets: list[np.ndarray], bits: int, percent: int = LEAST):
+        self.percent = percent
         size = np.array([len(s) for s in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), size)
         bit = (np.concatenate(sets) % np.uint64(bits)).astype(np.int64)
@@ -273,8 +285,8 @@ class SignatureTree:
         """Whether sets below nodes a and b can link, by their sizes and by the overlap that their bits allow."""
         maps, low, high, shared = self.levels[level]
         smaller, larger = np.minimum(high[a], high[b]), np.maximum(low[a], low[b])
-        good = 100 * smaller >= LEAST * larger
-        need = -(-LEAST * (low[a] + low[b]) // (100 + LEAST))
+        good = 100 * smaller >= self.percent * larger
+        need = -(-self.percent * (low[a] + low[b]) // (100 + self.percent))
         at = np.flatnonzero(good)
         for k in range(0, len(at), PAIRS_AT_ONCE):
             part = at[k : k + PAIRS_AT_ONCE]
@@ -340,7 +352,7 @@ def _overlaps(sets: list[np.ndarray]):
     return count
 
 
-def connect(sets: list[np.ndarray]) -> np.ndarray:
+def connect(sets: list[np.ndarray], percent: int = LEAST) -> np.ndarray:
     """For each set, the number of the first set that links connect it with."""
     size = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort(([int(s[0]) for s in sets], size))
@@ -349,13 +361,13 @@ def connect(sets: list[np.ndarray]) -> np.ndarray:
     bits = 1 << int(min(max(9, int(2 * size.max() - 1).bit_length()), 13))
     label = np.arange(len(sets))
     overlaps = _overlaps(ranked)
-    for a, b in SignatureTree(ranked, bits).pairs():
+    for a, b in SignatureTree(ranked, bits, percent).pairs():
         for k in range(0, len(a), 1024):
             x, y = a[k : k + 1024], b[k : k + 1024]
             apart = label[x] != label[y]
             x, y = x[apart], y[apart]
             both = overlaps(x, y)
-            linked = 100 * both >= LEAST * (ranked_size[x] + ranked_size[y] - both)
+            linked = 100 * both >= percent * (ranked_size[x] + ranked_size[y] - both)
             for u, v in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
                 p, q = int(label[u]), int(label[v])
                 if p != q:
@@ -367,13 +379,13 @@ def connect(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (tile, rep, found) come in the order of tile; each tile is joined when its last row has come."""
     held, tile = [], None
 
     def join() -> pa.RecordBatch:
         reps, sets = zip(*dict(held).items(), strict=True)
-        first = connect([np.frombuffer(s, "<u8") for s in sets])
+        first = connect([np.frombuffer(s, "<u8") for s in sets], percent)
         at = np.flatnonzero(first != np.arange(len(first)))
         rep = np.array(reps, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(rep[first[at]]), pa.array(rep[at])], ["a", "b"])
@@ -389,7 +401,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield join()
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """Rows (rep, one, two, tiles) of sets in clusters; sets that can link have a tile in common."""
     totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
     members = members.join(totals.where(F.col("sets") > 1), "cluster")
@@ -397,7 +409,7 @@ def _tiles(members: DataFrame) -> DataFrame:
     whole = members.where(small).select("rep", "one", "two", F.array(F.xxhash64("cluster")).alias("tiles"))
 
     # Sets of a band meet those of the same and of the next lower one; a band of many parts, part by part.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST)))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
     large = members.where(~small).withColumn("band", F.explode(F.array(band, band + 1)))
     parts = F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)).cast("int")
     bands = large.groupBy("cluster", "band").agg(parts.alias("parts"), F.count("*").alias("held"))
@@ -412,10 +424,10 @@ def _tiles(members: DataFrame) -> DataFrame:
     return whole.union(large)
 
 
-def _clustered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clustered_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Sets of the texts, for rows whose text has the set that its class is named after."""
     for batch in frames.slices(batches):
-        values, bounds = shingle_sets(batch.column("text"))
+        values, bounds = shingle_sets(batch.column("text"), width)
         one, two = set_names(values, bounds)
         same = (one == batch.column("one").to_numpy()) & (two == batch.column("two").to_numpy())
         values = values.astype("<u8")
@@ -426,36 +438,47 @@ def _clustered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out.filter(pa.array(same))
 
 
-def links(rows: DataFrame, described: DataFrame) -> DataFrame:
+def links(rows: DataFrame, described: DataFrame, width: int = WORDS, percent: int = LEAST) -> DataFrame:
     """Links (a, b) between smallest ids of classes, enough to connect every two sets that links connect."""
     spark = rows.sparkSession
     text = rows.select("text")
-    levels = spark.sparkContext.broadcast(bucket_levels(text))  # 2**BUCKET_BITS bytes
+    levels = spark.sparkContext.broadcast(bucket_levels(text, width))  # 2**BUCKET_BITS bytes
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _postings(levels.value, batches)
+        yield from _postings(levels.value, batches, width, percent)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _groups(batches, percent)
 
     posted = text.mapInArrow(postings, "token long, one long, n int")
     grouped = posted.repartition("token").sortWithinPartitions("token", "n", "one")
-    near = frames.checkpointed(grouped.mapInArrow(_groups, "a long, b long, sure boolean").distinct())
+    near = frames.checkpointed(grouped.mapInArrow(groups, "a long, b long, sure boolean").distinct())
     pairs = near.where(~F.col("sure")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = near.where("sure").select("a", "b").union(_may_link(pairs, described))
+    near = near.where("sure").select("a", "b").union(_may_link(pairs, described, percent))
     clusters = components(near).select(F.col("node").alias("one"), F.col("label").alias("cluster"))
 
-    classes = described.where(F.col("n_shingles") >= SMALLEST).groupBy("one", "two", F.col("n_shingles").alias("n"))
+    classes = described.where(F.col("n_shingles") >= smallest(percent)).groupBy("one", "two", F.col("n_shingles").alias("n"))
     members = classes.agg(F.min("doc_id").alias("rep")).join(clusters, "one")
-    tiles = _tiles(frames.checkpointed(members))
+    tiles = _tiles(frames.checkpointed(members), percent)
     sets = rows.join(tiles, rows["doc_id"] == tiles["rep"]).select("rep", "one", "two", "tiles", "text")
-    sets = sets.mapInArrow(_clustered_sets, "rep long, tiles array<long>, found binary")
+    sets = sets.mapInArrow(
+        lambda batches: _clustered_sets(batches, width), "rep long, tiles array<long>, found binary"
+    )
     sets = sets.select(F.explode("tiles").alias("tile"), "rep", "found")
-    return sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_links, "a long, b long")
+    sets = sets.repartition("tile").sortWithinPartitions("tile")
+    return sets.mapInArrow(lambda batches: _links(batches, percent), "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = LEAST
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to, itself included)."""
+    if width < 1 or not 60 <= percent < 100:  # parities of linked sets are folded once at most
+        raise ValueError("a shingle has a word or more, and percent is from 60 to 99")
     rows = frames.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     described = rows.mapInArrow(
-        _describe, "doc_id long, n_shingles long, one long, two long, parity array<long>"
+        lambda batches: _describe(batches, width, percent),
+        "doc_id long, n_shingles long, one long, two long, parity array<long>",
     )
     described = frames.checkpointed(described)
     named = described.where(F.col("doc_id").isNotNull())
@@ -465,7 +488,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # an id of several rows connects the classes that they are in
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where(F.col("a") < F.col("z"))
     shared = own.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    labels = components(links(rows.where(F.col("doc_id").isNotNull()), named).union(shared))
+    labels = components(links(rows.where(F.col("doc_id").isNotNull()), named, width, percent).union(shared))
     classes = classes.join(labels, classes["rep"] == labels["node"], "left")
     classes = classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"))
     out = filled.join(classes, ["one", "two"]).select("doc_id", "n_shingles", "component_id")
@@ -474,12 +497,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.union(empty).union(nameless)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = LEAST
+) -> DataFrame:
     """One document of each group, the one with the smallest id; rows without an id stay.
 
     Of several rows with that id the smallest by all columns, the text first, stays.
     """
-    found = join(docs, id_col, text_col)
+    found = join(docs, id_col, text_col, width, percent)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     own = docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
     columns = [text_col, *(c for c in docs.columns if c != text_col)]
