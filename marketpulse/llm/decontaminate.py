@@ -7,7 +7,8 @@ backwards, all at once, one rank step per word; occurrences are located through
 spans of all occurrences are merged.
 
 Memory of a task follows `SHARD_BYTES` (or the longest text) and the block of phrases. A block holds items of about
-`BLOCK_BYTES`; more items than that are searched block by block over the same rows, with a checkpoint between.
+`BLOCK_BYTES`; more items than that are searched block by block over the same rows, with a checkpoint between. Removal by several
+blocks marks the hits of all on one text, cuts them at once, and goes on with the documents that it cut.
 
 Nulls: a null text, of either table, has no words; a document with a null id is kept, with its own row; items with a
 null id or without words have no phrases. Repeated documents give a row each. An empty table of either kind gives
@@ -20,6 +21,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -267,6 +269,15 @@ def report(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+def _without(text: str, found: words.Words, row: int, start: np.ndarray, stop: np.ndarray) -> str:
+    """A row's text without runs of its words."""
+    raw, base, kept, done = text.encode(), found.bounds[row], [], 0
+    for a, b in zip(start, stop, strict=True):
+        kept.append(raw[done : found.start[a] - base])
+        done = found.end[b - 1] - base
+    return b"".join([*kept, raw[done:]]).decode()
+
+
 def cut(batch_texts: pa.Array, phrases: Phrases) -> list[str]:
     """Texts without the spans of merged occurrences, until none is left."""
     out = [t or "" for t in batch_texts.to_pylist()]
@@ -279,35 +290,98 @@ def cut(batch_texts: pa.Array, phrases: Phrases) -> list[str]:
         again = []
         for k, row in enumerate(rows):
             if at[k] < at[k + 1]:
-                raw, base, kept, done = out[row].encode(), found.bounds[k], [], 0
-                for a, b in zip(start[at[k] : at[k + 1]], stop[at[k] : at[k + 1]], strict=True):
-                    kept.append(raw[done : found.start[a] - base])
-                    done = found.end[b - 1] - base
-                out[row] = b"".join([*kept, raw[done:]]).decode()
+                out[row] = _without(out[row], found, k, start[at[k] : at[k + 1]], stop[at[k] : at[k + 1]])
                 again.append(row)
         rows = again
     return out
 
 
+def _replace(batch: pa.RecordBatch, text_col: str, new: list[str]) -> pa.RecordBatch:
+    """The batch with new texts; a text that was cut and has no word left goes, a null one stays."""
+    old = batch.column(text_col)
+    new = [None if t is None else n for t, n in zip(old.to_pylist(), new, strict=True)]
+    stays = [t == n or bool(WORD.search(n)) for t, n in zip(old.to_pylist(), new, strict=True)]
+    batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(new, old.type))
+    return batch.filter(pa.array(stays, pa.bool_()))
+
+
+def _cut_by_one(phrases: Phrases, text_col: str):
+    """Cuts a frame's texts by the only block there is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames.slices(batches, text_col, SHARD_BYTES):
+            yield _replace(batch, text_col, cut(batch.column(text_col), phrases))
+
+    return run
+
+
+def _mark(phrases: Phrases, text_col: str, hit_col: str):
+    """Adds the words that a block hits to those that others hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames.slices(batches, text_col, SHARD_BYTES):
+            found = words.split(batch.column(text_col), words.ALPHANUMERIC, lower=True)
+            _, first, end = hits(found, phrases)
+            word = np.flatnonzero(words.covered(len(found.start), first, end))
+            at = np.searchsorted(word, found.first)
+            old = batch.column(hit_col).to_pylist()
+            lists = [_merge(old[k], word[at[k] : at[k + 1]] - found.first[k]) for k in range(batch.num_rows)]
+            lists = pa.array(lists, batch.schema.field(hit_col).type)
+            yield batch.set_column(batch.schema.get_field_index(hit_col), hit_col, lists)
+
+    return run
+
+
+def _cut_marked(text_col: str, hit_col: str):
+    """Cuts the marked words out of a frame's texts and takes the marks away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames.slices(batches, text_col, SHARD_BYTES):
+            found = words.split(batch.column(text_col), words.ALPHANUMERIC, lower=True)
+            inside = np.zeros(len(found.start), bool)
+            for k, own in enumerate(batch.column(hit_col).to_pylist()):
+                inside[found.first[k] + np.array(own, np.int64)] = True
+            start, stop, at = words.runs(inside, found.first)
+            new = [
+                _without(t or "", found, k, start[at[k] : at[k + 1]], stop[at[k] : at[k + 1]])
+                for k, t in enumerate(batch.column(text_col).to_pylist())
+            ]
+            none = pa.nulls(batch.num_rows, batch.schema.field(hit_col).type)
+            batch = batch.set_column(batch.schema.get_field_index(hit_col), hit_col, none)
+            yield _replace(batch, text_col, new)
+
+    return run
+
+
+def _cut_by_blocks(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
+    """Rounds over all blocks: each marks its hits on the same text, which is then cut once; until a round has no hit."""
+    hit_col = "hit"
+    while hit_col in docs.columns:
+        hit_col += "_"
+    todo, done = docs.withColumn(hit_col, F.lit(None).cast("array<long>")), None
+    schema = todo.schema
+    while True:
+        for phrases in blocks(items, "item_id", "text"):
+            todo = frames.checkpointed(todo.mapInArrow(_mark(phrases, text_col, hit_col), schema))
+        clean = todo.where(F.size(hit_col) == 0).drop(hit_col)
+        done = clean if done is None else done.union(clean)
+        todo = frames.checkpointed(todo.where(F.size(hit_col) > 0).mapInArrow(_cut_marked(text_col, hit_col), schema))
+        if todo.isEmpty():
+            return done
+
+
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
     """The documents without the spans that occur in the benchmark; a document that loses all its words goes.
 
-    Columns stay as they are, but for the text and its length.
+    Columns stay as they are, but for the text and its length. The result does not depend on the blocks: one block
+    cuts a text in a task until no window is left, several mark all their hits before a round's cut.
     """
     frames.ship(docs.sparkSession)
-    cut_to = docs
-    for k, phrases in enumerate(blocks(items, "item_id", "text")):
-
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for batch in frames.slices(batches, text_col, SHARD_BYTES):
-                old = batch.column(text_col)
-                new = [None if t is None else n for t, n in zip(old.to_pylist(), cut(old, phrases), strict=True)]
-                stays = [t == n or bool(WORD.search(n)) for t, n in zip(old.to_pylist(), new, strict=True)]
-                new = pa.array(new, old.type)
-                batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, new)
-                yield batch.filter(pa.array(stays, pa.bool_()))
-
-        cut_to = (frames.checkpointed(cut_to) if k else cut_to).mapInArrow(run, docs.schema)
+    first = list(islice(blocks(items, "item_id", "text"), 2))
+    if len(first) > 1:
+        cut_to = _cut_by_blocks(docs, items, text_col)
+    else:
+        cut_to = docs.mapInArrow(_cut_by_one(first[0], text_col), docs.schema) if first else docs
     if n_chars_col in docs.columns:
         length = F.char_length(text_col).cast(docs.schema[n_chars_col].dataType)
         cut_to = cut_to.withColumn(n_chars_col, F.coalesce(length, n_chars_col))
