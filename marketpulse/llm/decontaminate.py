@@ -10,8 +10,9 @@ Memory of a task follows `SHARD_BYTES` (or the longest text) and the block of ph
 `BLOCK_BYTES`; more items than that are searched block by block over the same rows, with a checkpoint between. Removal by several
 blocks marks the hits of all on one text, cuts them at once, and goes on with the documents that it cut.
 
-Nulls: a null text, of either table, has no words; a document with a null id is kept, with its own row; items with a
-null id or without words have no phrases. Repeated documents give a row each. An empty table of either kind gives
+Nulls: a null text, of either table, has no words; a document with a null id is kept, with its own row; items without
+words have no phrases. Items with a null id hit like others and are removed; n_items counts all of them together as one,
+and the list of ids has none of them. Repeated documents give a row each. An empty table of either kind gives
 documents without hits, or no rows.
 """
 
@@ -45,18 +46,22 @@ def item_words(text: str | None) -> list[bytes]:
     return re.findall(rb"[0-9a-z\x80-\xff]+", lowered)
 
 
+def _null_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Phrases:
     """Windows of the items: symbols of their words, and which items have which window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for item_id, text in items:
             found = item_words(text)
             size = min(window, len(found))
             for k in range(len(found) - size + 1 if size else 0):
                 owners[tuple(found[k : k + size])].add(item_id)
         windows = sorted(owners)
-        self.owners = [sorted(owners[w]) for w in windows]
+        self.owners = [sorted(owners[w], key=_null_last) for w in windows]
         self.lengths = np.array([len(w) for w in windows], np.int64)
         vocabulary = sorted({x for w in windows for x in w})
         ends = np.cumsum([len(x) for x in vocabulary], dtype=np.int64)
@@ -185,13 +190,13 @@ def hits(found: words.Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Phrases]:
     """The items' phrases, by blocks of about BLOCK_BYTES."""
-    rows = frames.texts(items.where(F.col(id_col).isNotNull()), id_col, text_col)
+    rows = frames.texts(items, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     parts = -(-total // BLOCK_BYTES)
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(parts, 1)))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(parts, 1)))  # a null id too has a hash
     for part in range(parts):
         block = rows.where(key == part) if parts > 1 else rows
-        yield Phrases([(str(r.doc_id), r.text) for r in block.select("doc_id", "text").collect()])
+        yield Phrases([(None if r.doc_id is None else str(r.doc_id), r.text) for r in block.select("doc_id", "text").collect()])
 
 
 def _merge(old: list | None, new: np.ndarray) -> list[int]:
@@ -209,7 +214,7 @@ def _search(phrases: Phrases):
             word = np.flatnonzero(hit)
             text_of = np.searchsorted(found.first, word, side="right") - 1
             at = np.searchsorted(text_of, np.arange(len(found.bounds)))
-            items: dict[int, set[str]] = defaultdict(set)
+            items: dict[int, set[str | None]] = defaultdict(set)
             owner = np.searchsorted(found.first, first, side="right") - 1
             for row, w in np.unique(np.stack([owner, window], axis=1), axis=0).tolist():
                 items[row].update(phrases.owners[w])
@@ -218,7 +223,7 @@ def _search(phrases: Phrases):
             for row in range(batch.num_rows):
                 own = word[at[row] : at[row + 1]] - found.first[row]
                 word_lists.append(_merge(old_words[row], own))
-                item_lists.append(sorted({*(old_items[row] or ()), *items.get(row, ())}))
+                item_lists.append(sorted({*(old_items[row] or ()), *items.get(row, ())}, key=_null_last))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
