@@ -4,9 +4,10 @@ The standard library's parser streams events; block-level tags end a line. Lines
 article's text (menus, forms, scripts, ...), by tag name, role or a word of their class or id, are marked. Every line
 has a ratio of text outside links to tags, marked lines have 0; the ratios are smoothed with a Gaussian, a threshold (the
 deviation of the smoothed ratios) clusters the lines into content and the rest, and neighbouring content lines form
-regions. If the page names a container for its article, the container that holds most of the smoothed mass is
-taken whole, with its short lines; otherwise the regions with a good part of the heaviest region's mass are, each
-with the headings just before it. Marked lines are in no case part of the text.
+regions. A region inside an article element or a container named as one is widened to the outermost of these, with its
+short lines; what regions of one container hold is added up. Containers and regions outside of any that have a good
+part (REGION_SHARE) of the heaviest one's mass are taken, each with the headings just before it, and what lies between
+them. Marked lines are in no case part of the text.
 
 A block's white space becomes one blank and its ends are trimmed; blocks without text are left out; blocks are joined
 by line ends in page order.
@@ -54,7 +55,7 @@ DROPPED_WORDS = frozenset(
     " respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe"
     " subscription teaser toc toolbar tooltip widget widgets".split()
 )
-#: Words that name the container of the article, if no article element does.
+#: Words that name a container of the article, as article and main elements do.
 CONTAINER_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 _KEPT_TAGS = frozenset(("html", "body", "main", "article"))
 _NAMED = frozenset(("div", "section", "td"))
@@ -79,8 +80,7 @@ class Line:
     tags: int
     linked: int  # characters inside links
     marked: bool
-    article: int  # the outermost article element it is in, or 0
-    container: int  # the innermost other container it is in, or 0
+    container: int  # the outermost article element or named container it is in, or 0
     heading: bool
 
 
@@ -88,7 +88,6 @@ class Line:
 class _Open:
     tag: str
     marked: bool
-    article: int
     container: int
     heading: bool
 
@@ -99,7 +98,7 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack = [_Open("", False, 0, 0, False)]
+        self.stack = [_Open("", False, 0, False)]
         self.open: dict[str, int] = {}
         self.parts: list[str] = []
         self.tags = 0
@@ -111,7 +110,7 @@ class _Lines(HTMLParser):
         self.parts.clear()
         if text:
             top = self.stack[-1]
-            self.lines.append(Line(text, self.tags, self.linked, top.marked, top.article, top.container, top.heading))
+            self.lines.append(Line(text, self.tags, self.linked, top.marked, top.container, top.heading))
             self.tags = 0
         self.linked = 0
 
@@ -152,17 +151,15 @@ class _Lines(HTMLParser):
         unseen = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in style
         kept = tag in _KEPT_TAGS and "comment" not in found and "comments" not in found
         marked = top.marked or tag in DROPPED or unseen or (not kept and not found.isdisjoint(DROPPED_WORDS))
-        article, container = top.article, top.container
-        if not marked and tag == "article" and not article:
-            self.names += 1
-            article = self.names
-        elif not marked and (tag == "main" or (tag in _NAMED and not found.isdisjoint(CONTAINER_WORDS))):
+        container = top.container
+        names = tag in ("article", "main") or (tag in _NAMED and not found.isdisjoint(CONTAINER_WORDS))
+        if names and not marked and not container:
             self.names += 1
             container = self.names
         if marked and not top.marked:
             self._end_line()
         heading = tag in _HEADINGS or (top.heading and tag not in BLOCK)
-        self.stack.append(_Open(tag, marked, article, container, heading))
+        self.stack.append(_Open(tag, marked, container, heading))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -226,19 +223,22 @@ def select(found: list[Line]) -> list[str]:
     smoothed = smooth(ratio)
     content = (smoothed >= min(smoothed.std(), smoothed.max())) & (ratio > 0)
     mass = np.where(content, smoothed * [len(x.text) for x in found], 0.0)
-    for kind in ("article", "container"):
-        names = np.array([getattr(x, kind) for x in found])
-        if names.any() and mass[names > 0].sum() > 0:
-            best = int(np.argmax(np.bincount(names, np.where(names > 0, mass, 0.0))))
-            return [x.text for x, name in zip(found, names.tolist(), strict=True) if name == best and not x.marked]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], content, [0]])))
-    regions = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-    heavy = [mass[a:b].sum() for a, b in regions]
+    names = np.array([x.container for x in found])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], content, [0]])) | np.diff(names, prepend=0, append=0))
+    sides = np.flatnonzero(np.diff(names, prepend=0, append=0)).tolist()
+    spans = {int(names[a]): (a, b) for a, b in zip(sides[:-1], sides[1:], strict=True)}  # containers are in one piece
+    held: dict[tuple[int, int], float] = {}  # masses of containers, or of regions outside of any, by their lines
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if content[a]:
+            span = spans[int(names[a])] if names[a] else (a, b)
+            held[span] = held.get(span, 0.0) + float(mass[a:b].sum())
+    heaviest = max(held.values(), default=0.0)
     chosen: set[int] = set()
-    for (a, b), own in zip(regions, heavy, strict=True):
-        if own >= REGION_SHARE * max(heavy):
+    for (a, b), own in held.items():
+        if own >= REGION_SHARE * heaviest:
             chosen.update(range(a, b))
-            while a > 0 and found[a - 1].heading and not found[a - 1].marked:
+            name = names[a]
+            while a > 0 and found[a - 1].heading and not found[a - 1].marked and found[a - 1].container in (0, name):
                 a -= 1
                 chosen.add(a)
     low, high = min(chosen, default=0), max(chosen, default=-1)
