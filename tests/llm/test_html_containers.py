@@ -34,3 +34,8 @@ def test_teaser_does_not_replace_the_text():
 def test_many_containers_on_one_page():
     page = "".join(f"<article>{paragraphs(k)}</article>" for k in range(300))
     assert htmltext.main_text(page).split("\n") == [text(k) for k in range(300)]
+
+
+def test_threshold_decides_before_containers():
+    page = f"<body><article><p>A short note of little weight.</p></article><div>{paragraphs(*range(8))}</div></body>"
+    assert htmltext.main_text(page).split("\n") == [text(k) for k in range(8)]
