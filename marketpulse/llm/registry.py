@@ -13,6 +13,7 @@ from marketpulse.llm import (
     htmltext,
     jaccard,
     licenses,
+    matrixbpe,
     quality,
     repetition,
     secrets_scan,
@@ -45,5 +46,6 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": _over(jaccard.join, "documents"),
     "op9_token_files": _over(tokenfiles.report, "documents"),
     "op10_toxicity": _over(toxicity.report, "documents", "labels"),
+    "op12_matrix_bpe": _over(matrixbpe.report, "documents"),
     "pipeline": corpus_pipeline.run,
 }
