@@ -19,6 +19,7 @@ from marketpulse.llm import (
     secrets_scan,
     tokenfiles,
     toxicity,
+    whitening,
 )
 from marketpulse.llm.oracle import ORACLE
 
@@ -47,5 +48,6 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": _over(tokenfiles.report, "documents"),
     "op10_toxicity": _over(toxicity.report, "documents", "labels"),
     "op12_matrix_bpe": _over(matrixbpe.report, "documents"),
+    "op13_whitening": _over(whitening.report, "embeddings"),
     "pipeline": corpus_pipeline.run,
 }
