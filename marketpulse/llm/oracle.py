@@ -194,10 +194,61 @@ reach(a, b) AS (
 SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, CAST(min(b) AS BIGINT) AS component_id
 FROM s JOIN reach ON s.doc_id = reach.a GROUP BY s.doc_id, len(grams)"""
 
+#: crc32 byte by byte, with its table of 256 made from the polynomial; near words by the strings that a deletion leaves.
+VARIANTS = f"""WITH RECURSIVE
+steps AS (
+  SELECT b, 0 AS k, CAST(b AS BIGINT) AS c FROM range(256) AS t(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM steps WHERE k = 8),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_lowered("text")} AS t FROM documents),
+found AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM d),
+runs AS (SELECT r, doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT *, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS h FROM runs),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT),
+      [CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) for i in range(1, length(h) // 2 + 1)]),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS crc
+  FROM coded, crc
+),
+kept AS (
+  SELECT n, CASE WHEN crc % 199 = 0
+    THEN left(run, CAST(crc % length(run) AS INT)) || substr(run, CAST(crc % length(run) AS INT) + 2) ELSE run END AS word
+  FROM summed
+),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (
+  SELECT word, n, i, CASE WHEN i < 0 THEN word ELSE left(word, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) END AS part
+  FROM (SELECT word, n, unnest(range(-1, length(word))) AS i FROM w)
+),
+near AS (
+  SELECT DISTINCT a.word AS word, b.word AS other, b.n AS n
+  FROM cut a JOIN cut b USING (part) WHERE a.word <> b.word AND (a.i = b.i OR a.i < 0 OR b.i < 0)
+),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS other FROM near GROUP BY word
+),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN top >= 5 * w.n THEN other END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best USING (word)
+),
+path AS (
+  SELECT word, word AS at, form AS further FROM forms
+  UNION ALL
+  SELECT path.word, forms.word, forms.form FROM path JOIN forms ON forms.word = path.further
+)
+SELECT forms.word, forms.form, path.at AS root, forms.n, CAST(forms.n_near AS BIGINT) AS n_near, forms.form_n
+FROM forms JOIN path ON path.word = forms.word AND path.further IS NULL"""
+
+
 ORACLE: dict[str, str] = {
     "op2_secret_scan": _secrets(),
     "op4_decontamination": DECONTAMINATION,
     "op5_repetition_rules": _repetition(),
     "op7_license_scan": _licenses(),
     "op8_jaccard_join": JACCARD,
+    "op11_spelling_variants": VARIANTS,
 }

@@ -19,6 +19,7 @@ from marketpulse.llm import (
     secrets_scan,
     tokenfiles,
     toxicity,
+    variants,
     whitening,
 )
 from marketpulse.llm.oracle import ORACLE
@@ -47,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": _over(jaccard.join, "documents"),
     "op9_token_files": _over(tokenfiles.report, "documents"),
     "op10_toxicity": _over(toxicity.report, "documents", "labels"),
+    "op11_spelling_variants": _over(variants.variants, "documents"),
     "op12_matrix_bpe": _over(matrixbpe.report, "documents"),
     "op13_whitening": _over(whitening.report, "embeddings"),
     "pipeline": corpus_pipeline.run,

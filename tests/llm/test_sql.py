@@ -6,7 +6,7 @@ import pytest
 from marketpulse.llm import registry
 
 FOLDER = "/root/testdata/sf0.01"
-NAMES = {f"op{n}" for n in range(1, 11)}
+NAMES = {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def duck():
 
 def test_one_query_for_each_operator():
     assert {n.split("_")[0] for n in registry.QUERIES} == {*NAMES, "pipeline"}
-    assert len(registry.QUERIES) == 11 and set(registry.ORACLE) < set(registry.QUERIES)
+    assert len(registry.QUERIES) == 14 and set(registry.ORACLE) < set(registry.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
@@ -32,4 +32,4 @@ def test_same_rows(spark, duck, name):
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
     at = [rel.columns.index(c) for c in columns]
     assert got == sorted((tuple(r[k] for k in at) for r in rel.fetchall()), key=repr)
-    assert len(got) == 1000
+    assert len(got) == 1000 or name == "op11_spelling_variants" and len(got) > 1000
