@@ -22,6 +22,7 @@ from marketpulse.sinks import Partition, remove, write_mart, write_partitions
 from marketpulse.sources.extracts import Extract, read_extract, read_totals
 from marketpulse.sources.files import LedgerFiles, MemberFiles
 from marketpulse.sources.inputs import DIMENSIONS, Cut, Inputs, LandedInputs
+from marketpulse.sources.ledger import unite as unite_ledgers
 from marketpulse.spec import SegmentSpec, all_quarters
 
 SHARED_DIRECTORY = "spark.checkpoint.dir"
@@ -173,10 +174,7 @@ def land_files(
         write_partitions(every, f"{root}/members", ["segmento"])
     rows = [ledger.read(spark) for ledger in ledgers]
     if rows:
-        every = rows[0]
-        for one_ledger in rows[1:]:
-            every = every.unionByName(one_ledger)
-        every = every.withColumn("ano", F.year("ano_tri"))
+        every = unite_ledgers(rows).withColumn("ano", F.year("ano_tri"))
         write_partitions(every, f"{root}/ledger", ["segmento", "ano"])
     return LandedInputs(spark, cuts, members=f"{root}/members", ledger=f"{root}/ledger")
 

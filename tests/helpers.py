@@ -13,6 +13,7 @@ from marketpulse.sources.inputs import DIMENSIONS
 from marketpulse.spec import MED, ODO
 
 SMALL = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 Q = {n: date(2000 + n // 10, (n % 10) * 3 - 2, 1) for n in (153, 154, 161, 162, 163, 164, 211, 212, 221, 222)}
 

@@ -57,6 +57,7 @@ def test_long_ledger(spark):
         "receita_de_contraprestacoes_medica",
         "despesa_assistencial_odonto",
         "despesa_administrativa",
+        None,  # the position of an account that no segment uses
     }
     r = got["receita_de_contraprestacoes_medica"]
     assert (r.segmento, r.registro, r.ano_tri, r.saldo_cents) == ("MED", "1", date(2021, 7, 1), 1055)
