@@ -1,7 +1,7 @@
 import corpus_pipeline
 import pytest
 from test_decontaminate import expected as decontaminated
-from test_jaccard import brute_force
+from test_near_copies import brute_force
 
 from marketpulse.llm import frames, registry, toxicity
 
@@ -38,7 +38,8 @@ def test_toxic_documents_go(spark, stages):
 
 def test_one_document_of_each_group_stays(stages):
     rows = [(r.doc_id, r.text) for r in stages["toxicity"].collect()]
-    assert ids(stages["ngram_jaccard_join"]) == {i for i, _, component in brute_force(rows) if i == component}
+    near = brute_force(rows, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
+    assert ids(stages["ngram_jaccard_join"]) == {i for i, _, component in near if i == component}
 
 
 def test_no_passage_of_the_benchmark_is_left(spark, stages):
