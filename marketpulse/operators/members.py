@@ -60,6 +60,14 @@ def panel_rows(panel: DataFrame, quarters: Sequence[date]) -> DataFrame:
     return panel.unpivot(keys, cells, "competencia", "beneficiarios")
 
 
+def keep_held(df: DataFrame, held: DataFrame) -> DataFrame:
+    """Keeps the quarters that the inputs have: one that was never landed has no rows, not zeros.
+
+    ``held`` has at most a row for each segment and quarter of a request.
+    """
+    return df.join(F.broadcast(held), ["segmento", "competencia"], "left_semi")
+
+
 def keep_requested(
     df: DataFrame, specs: Sequence[SegmentSpec], quarters: Sequence[date]
 ) -> DataFrame:

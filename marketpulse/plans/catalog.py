@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
+from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame
 
@@ -18,7 +20,7 @@ from marketpulse.plans import (
 )
 from marketpulse.operators.members import flag_members
 from marketpulse.sources.inputs import Inputs
-from marketpulse.spec import SegmentSpec, one, snapshots
+from marketpulse.spec import SegmentSpec, later, one, snapshots
 
 Job = Callable[[Inputs, Sequence[SegmentSpec]], DataFrame]
 
@@ -95,6 +97,7 @@ JOBS: dict[str, Job] = {
     "q44_result_wide_layout": _odo(readers.result_of_wide_layout),
     "q45_share_of_requests": _odo(readers.share_of_requests),
     "q46_share_with_gaps": readers.share_with_gaps,
+    "q47_yoy_with_gap": readers.yoy_with_gap,
 }
 
 #: Segments without which a job has no result; the others take either segment alone.
@@ -123,6 +126,69 @@ NEEDS: dict[str, frozenset[str]] = {
 }
 
 
+
+@dataclass(frozen=True)
+class Series:
+    """A result with a row or more for each quarter, which can be built for some quarters alone.
+
+    ``time`` is the column of the quarter, ``month`` what is added to its first
+    month there. A quarter reaches the results of itself and of as many quarters
+    later as ``reach`` says. An ``anchored`` result depends on the whole anchor
+    year. A ``counted`` one counts rows back, so it is built in part only where
+    the quarters around have no gap.
+    """
+
+    time: str
+    reach: tuple[int, ...] = (0,)
+    month: int = 0
+    anchored: bool = False
+    counted: bool = False
+
+
+SERIES: dict[str, Series] = {
+    "q02a_period_by_modality": Series("trimestre"),
+    "q02b_period_by_region": Series("trimestre"),
+    "q06_anchor_panel": Series("competencia", anchored=True),
+    "q07_market_total": Series("trimestre", anchored=True),
+    "q08_member_total": Series("trimestre", anchored=True),
+    "q09_market_yoy": Series("trimestre", (0, 4), anchored=True),
+    "q25_region_yoy": Series("trimestre", (0, 4), month=2, counted=True),
+}
+
+#: Results that no quarter of the enrolment reaches: they come from the ledger or the member lists alone.
+_WITHOUT_ENROLMENT = (
+    "q03_members",
+    "q04_ledger_wide",
+    *[n for n in JOBS if n[:3] in ("q12", "q13", "q14", "q15", "q16", "q17", "q18", "q23", "q33", "q34", "q35", "q37", "q38")],
+    "q39_member_count",
+    "q43_result_long_layout",
+    "q44_result_wide_layout",
+)
+#: Results over every requested quarter, that are no series.
+_OF_ALL_QUARTERS = ("q01_crosstab_to_fact", "q02_crosstab_margins", "q02c_operator_by_period", "q47_yoy_with_gap")
+#: Results of the compared quarters that use the anchored panel too.
+_OF_PANEL = ("q30_members_lives_odo", "q31_member_growth", "q32_member_coverage", "q42_kpi_table")
+
+
+def reached(name: str, specs: Sequence[SegmentSpec], quarters: Collection[date]) -> frozenset[date] | None:
+    """The quarters of a result that these quarters of the enrolment reach; None if they reach all of it.
+
+    A result that is no series is reached wholly or, with an empty set, not at all.
+    """
+    anchor = {q for s in specs for q in s.anchor_quarters}
+    if name in SERIES:
+        series = SERIES[name]
+        if series.anchored and anchor & set(quarters):
+            return None
+        return frozenset(later(q, k) for q in quarters for k in series.reach)
+    if name in _WITHOUT_ENROLMENT:
+        return frozenset()
+    if name in _OF_ALL_QUARTERS:
+        return None
+    needed = set(snapshots(specs, "prior", "current")) | (anchor if name in _OF_PANEL else set())
+    return None if needed & set(quarters) else frozenset()
+
+
 def lacks(name: str, specs: Sequence[SegmentSpec]) -> frozenset[str]:
     """Segments that the job needs and that are not among the specs."""
     return NEEDS.get(name, frozenset()) - {s.segmento for s in specs}

@@ -18,32 +18,34 @@ from marketpulse.functions.numeric import (
     share_of,
     sum_where,
 )
-from marketpulse.operators.compare import is_at, series, year_over_year
+from marketpulse.operators.compare import is_at, series, since_last_year
 from marketpulse.operators.members import (
     anchored_panel,
     flag_members,
+    keep_held,
     keep_requested,
     panel_rows,
 )
 from marketpulse.sources.inputs import Inputs
-from marketpulse.spec import SegmentSpec, all_quarters, pick, quarter_range, snapshots
+from marketpulse.spec import SegmentSpec, all_quarters, pick, snapshots
 
 
 def _flagged_panel(
     inputs: Inputs, specs: Sequence[SegmentSpec], quarters: Sequence[date]
-) -> DataFrame:
-    """The panel, a row per operator and a column per quarter, with the member flag."""
+) -> tuple[DataFrame, DataFrame]:
+    """The panel, a row per operator and a column per quarter, with the member flag; and the quarters held."""
     anchor = {q for s in specs for q in s.anchor_quarters}
-    fact = inputs.enrolment(specs, {"registro", "operadora"}, anchor | set(quarters))
-    return flag_members(anchored_panel(fact, specs, quarters), inputs.members(specs))
+    request = (specs, {"registro", "operadora"}, anchor | set(quarters))
+    panel = anchored_panel(inputs.enrolment(*request), specs, quarters)
+    return flag_members(panel, inputs.members(specs)), inputs.held(*request, anchored=True)
 
 
 def operator_panel(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
-    """Every anchored operator in every requested quarter, 0 where it has no lives."""
+    """Every anchored operator in every requested quarter that is held, 0 where it has no lives."""
     quarters = all_quarters(specs)
-    rows = panel_rows(_flagged_panel(inputs, specs, quarters), quarters)
-    rows = rows.withColumn("competencia", F.col("competencia").cast("date"))
-    return keep_requested(rows, specs, quarters).select(
+    panel, held = _flagged_panel(inputs, specs, quarters)
+    rows = panel_rows(panel, quarters).withColumn("competencia", F.col("competencia").cast("date"))
+    return keep_held(keep_requested(rows, specs, quarters), held).select(
         "segmento", "registro", "operadora", "associada", "competencia", "beneficiarios"
     )
 
@@ -55,10 +57,11 @@ def market_series(
 
     ``associadas`` is null throughout when no member is in the panel, and 0 in
     a quarter in which the panel's members have no lives. Operators are summed
-    by their flag before the quarters become rows.
+    by their flag before the quarters become rows. A quarter that is not held has
+    no row.
     """
     quarters = quarters or all_quarters(specs)
-    panel = _flagged_panel(inputs, specs, quarters)
+    panel, held = _flagged_panel(inputs, specs, quarters)
     sums = [F.sum(q.isoformat()).alias(q.isoformat()) for q in quarters]
     rows = panel_rows(panel.groupBy("segmento", "associada").agg(*sums), quarters)
     lives = F.col("beneficiarios")
@@ -67,7 +70,7 @@ def market_series(
         sum_where(F.col("associada") == 1, lives).alias("associadas"),
     )
     totals = totals.withColumn("competencia", F.col("competencia").cast("date"))
-    return keep_requested(totals, specs, quarters)
+    return keep_held(keep_requested(totals, specs, quarters), held)
 
 
 def market_total(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
@@ -94,8 +97,8 @@ def with_yearly_change(totals: DataFrame) -> DataFrame:
     over = series("segmento")
     return totals.withColumns(
         {
-            "var_tri_assoc": year_over_year("associadas", over),
-            "var_tri_mercado": year_over_year("mercado", over),
+            "var_tri_assoc": since_last_year("associadas", over),
+            "var_tri_mercado": since_last_year("mercado", over),
         }
     )
 
@@ -114,12 +117,9 @@ def market_yoy(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
 def series_indicators(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     """One row per segment: member lives, member growth and coverage at the current quarter.
 
-    Reads the anchor year and the quarters from the prior to the current one.
+    Reads the anchor year and the two compared quarters.
     """
-    compared = snapshots(specs, "prior", "current")
-    table = with_yearly_change(
-        market_series(inputs, specs, quarter_range(compared[0], compared[-1]))
-    )
+    table = with_yearly_change(market_series(inputs, specs, snapshots(specs, "prior", "current")))
     return table.filter(is_at(specs, "current")).select(
         "segmento",
         scaled(F.col("associadas"), pick(specs, lambda s: s.lives_unit), 1).alias("total_benef"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketpulse.functions.numeric import percent_change, ratio, round_to, scaled, sum_where
 from marketpulse.functions.periods import long_label
 from marketpulse.operators import crosstab
-from marketpulse.operators.compare import is_at, transpose
+from marketpulse.operators.compare import compared_quarters, is_at, required
 from marketpulse.plans.crosstabs import modality_columns
 from marketpulse.schema import dimension
 from marketpulse.sources.inputs import Inputs
@@ -26,8 +26,8 @@ def snapshot_indicators(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFra
     lives, now = F.col("beneficiarios"), is_at(specs, "current")
     headline = F.col("modalidade") == pick(specs, lambda s: s.headline.key)
     sums = fact.groupBy("segmento").agg(
-        sum_where(is_at(specs, "prior"), lives).alias("before"),
-        sum_where(now, lives).alias("now"),
+        required(specs, "prior", sum_where(is_at(specs, "prior"), lives)).alias("before"),
+        required(specs, "current", sum_where(now, lives)).alias("now"),
         sum_where(now & headline, lives).alias("headline"),
     )
     return sums.select(
@@ -42,8 +42,8 @@ def total_growth(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     fact = inputs.enrolment(specs, set(), snapshots(specs, "prior", "current"))
     lives = F.col("beneficiarios")
     sums = fact.groupBy("segmento").agg(
-        sum_where(is_at(specs, "prior"), lives).alias("before"),
-        sum_where(is_at(specs, "current"), lives).alias("now"),
+        required(specs, "prior", sum_where(is_at(specs, "prior"), lives)).alias("before"),
+        required(specs, "current", sum_where(is_at(specs, "current"), lives)).alias("now"),
     )
     growth = percent_change(F.col("now"), F.col("before"))
     return sums.select("segmento", growth.alias("totaltri"))
@@ -65,8 +65,7 @@ def modality_compare(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     unit = pick(specs, lambda s: s.lives_unit)
     names = [c for c in table.columns if c not in ("segmento", "competencia")]
     table = table.withColumns({c: scaled(F.col(c), unit, 1) for c in names})
-    periods = {"ant": is_at(specs, "prior"), "atu": is_at(specs, "current")}
-    rows = transpose(table, names, periods, "coluna")
+    rows = compared_quarters(table, specs, names, "coluna")
     return (
         rows.join(dimension(inputs.spark, specs, _with_total), ["segmento", "coluna"])
         .select("segmento", "ordem", F.col("rotulo").alias("modalidade"), "ant", "atu")

@@ -16,14 +16,22 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import guarded_sum, sum_with_holes
 from marketpulse.operators.crosstab import MEASURE, unite
-from marketpulse.plans.catalog import JOBS, lacks
+from marketpulse.plans.catalog import JOBS, SERIES, lacks, reached
 from marketpulse.schema import ENROLMENT
-from marketpulse.sinks import Partition, remove, write_mart, write_partitions
-from marketpulse.sources.extracts import Extract, read_extract, read_totals
+from marketpulse.sinks import NoRows, Partition, publish, remove, write_partitions
+from marketpulse.sources.extracts import Extract, read_extract, read_text_crosstab, read_totals
 from marketpulse.sources.files import LedgerFiles, MemberFiles
-from marketpulse.sources.inputs import DIMENSIONS, Cut, Inputs, LandedInputs
+from marketpulse.sources.inputs import (
+    DIMENSIONS,
+    Cut,
+    Inputs,
+    LandedInputs,
+    MissingPeriod,
+    Selected,
+    compared_periods,
+)
 from marketpulse.sources.ledger import unite as unite_ledgers
-from marketpulse.spec import SegmentSpec, all_quarters
+from marketpulse.spec import SegmentSpec, all_quarters, later
 
 SHARED_DIRECTORY = "spark.checkpoint.dir"
 
@@ -68,7 +76,14 @@ def land_quarters(
     )
     asked = _of_quarters(specs, quarters)
     path = _enrolment_path(root)
-    write_partitions(cells, path, ["segmento", "competencia"], asked)
+    compared = [
+        ((F.col("segmento") == segmento) & (F.col("competencia") == F.lit(quarter)), text)
+        for segmento, quarter, text in compared_periods(specs, quarters)
+    ]
+    try:
+        write_partitions(cells, path, ["segmento", "competencia"], asked, compared)
+    except NoRows as none:
+        raise MissingPeriod(str(none)) from none
     joint = inputs.spark.read.schema(ENROLMENT).parquet(path).filter(
         F.col("segmento").isin([s.segmento for s in specs])
         & F.col("competencia").isin(sorted(quarters))
@@ -136,10 +151,13 @@ def land_extracts(
     each operator, which becomes a cut of its own at ``totals_path``.
     """
     extracts = list(extracts)
-    cells = unite([read_extract(spark, extract, spec) for extract, spec in extracts])
+    read = [
+        (extract, spec, read_text_crosstab(spark, extract.paths, extract.sep)) for extract, spec in extracts
+    ]
+    cells = unite([read_extract(spark, *one) for one in read])
     cuts = [_land_cut(cells, path)]
     if totals_path is not None:
-        found = [read_totals(spark, extract, spec) for extract, spec in extracts]
+        found = [read_totals(spark, *one) for one in read]
         found = [t for t in found if t is not None]
         if found:
             cuts.append(_land_cut(unite(found), totals_path))
@@ -197,6 +215,77 @@ def build_marts(
     return {n: JOBS[n](inputs, specs) for n in names}
 
 
+def _publish(table: DataFrame, marts: str, name: str, asked) -> None:
+    """Series by segment and quarter, other results by segment where they have one."""
+    if "segmento" not in table.columns:
+        publish(table, marts, mart_name(name))
+        return
+    time = [SERIES[name].time] if name in SERIES else []
+    publish(table, marts, mart_name(name), ["segmento", *time], asked)
+
+
+def _held(inputs: Inputs, specs: Sequence[SegmentSpec], quarters: Collection[date]) -> set[tuple[str, date]]:
+    """At most a pair for each segment and quarter of the specs."""
+    return {(r.segmento, r.competencia) for r in inputs.held(specs, set(), quarters).collect()}
+
+
+def rebuild(
+    inputs: Inputs,
+    specs: Sequence[SegmentSpec],
+    marts: str,
+    quarters: Collection[date],
+    names: Iterable[str] | None = None,
+) -> dict[str, frozenset[date] | None]:
+    """Write again what changed quarters reach, and nothing else.
+
+    A series is built for the quarters reached, from those and the ones that
+    they are compared with, and only their partitions are written. Returns what
+    was written: the quarters of each series, or None for a whole result.
+    """
+    segments = {s.segmento for s in specs}
+    names = [n for n in JOBS if not lacks(n, specs)] if names is None else list(names)
+    anchor = {q for s in specs for q in s.anchor_quarters}
+    written: dict[str, frozenset[date] | None] = {}
+    for name in names:
+        part = reached(name, specs, quarters)
+        if part is not None:
+            part &= frozenset(all_quarters(specs))
+            if not part:
+                continue
+        source = inputs
+        if part is not None:
+            series = SERIES[name]
+            span = [later(q, -k) for q in part for k in range(5)]
+            if series.counted:
+                around = set(all_quarters(specs)) & {later(q, k) for q in quarters for k in range(-4, 5)}
+                gap = {(s.segmento, q) for s in specs for q in around} - _held(inputs, specs, around)
+                part = None if gap else part
+            if part is not None:
+                source = Selected(inputs, {*span, *(anchor if series.anchored else ())})
+        if part is None:
+            _publish(JOBS[name](source, specs), marts, name, lambda p: p["segmento"] in segments)
+        else:
+            days = {date(q.year, q.month + series.month, 1) for q in part}
+            table = JOBS[name](source, specs).filter(F.col(series.time).isin(sorted(days)))
+            texts = {d.isoformat() for d in days}
+            _publish(table, marts, name, lambda p: p["segmento"] in segments and p[series.time] in texts)
+        written[name] = part
+    return written
+
+
+def refresh(
+    inputs: Inputs,
+    specs: Sequence[SegmentSpec],
+    landing: str,
+    marts: str,
+    quarters: Collection[date],
+    names: Iterable[str] | None = None,
+) -> dict[str, frozenset[date] | None]:
+    """Land some quarters, and write the marts again as far as these quarters reach."""
+    land_quarters(inputs, specs, landing, quarters)
+    return rebuild(landed(inputs.spark, landing), specs, marts, quarters, names)
+
+
 def run(
     inputs: Inputs,
     specs: Sequence[SegmentSpec],
@@ -207,14 +296,16 @@ def run(
     """Land the inputs and write the marts.
 
     ``landing`` keeps the landed tables for later runs; without it they go to a
-    new folder under the cluster's shared one, which is removed at the end.
+    new folder under the cluster's shared one, which is removed at the end. A
+    mart of some of the segments replaces these segments; ``sinks.read_mart``
+    reads it.
     """
     root = landing or f"{shared_directory(inputs.spark)}/inputs-{uuid4().hex}"
     segments = [s.segmento for s in specs]
     try:
         source = land(inputs, specs, root)
         for name, table in build_marts(source, specs, names).items():
-            write_mart(table, marts, mart_name(name), segments)
+            _publish(table, marts, name, lambda p: p["segmento"] in segments)
     finally:
         if landing is None:
             remove(inputs.spark, root)

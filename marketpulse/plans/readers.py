@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from marketpulse.operators.compare import is_at
 from marketpulse.plans import enrolment, finance
 from marketpulse.plans.crosstabs import OPERATOR, modality_columns
 from marketpulse.sources.files import money_text
-from marketpulse.sources.inputs import Inputs, Replaced
+from marketpulse.sources.inputs import Inputs, Replaced, Selected
 from marketpulse.sources.ledger import read_long, read_wide
-from marketpulse.spec import SegmentSpec, snapshots
+from marketpulse.spec import SegmentSpec, all_quarters, snapshots
 
+# A quarter that ``yoy_with_gap`` does without.
+GAP_QUARTER = date(1998, 1, 1)
 # Every so many operators have an unpublished count in ``share_with_gaps``.
 GAP_EVERY = 97
 
@@ -97,3 +100,9 @@ def share_with_gaps(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     gap = (F.col("segmento") == "ODO") & (F.col("registro").cast("long") % GAP_EVERY == 0)
     fact = fact.withColumn("beneficiarios", F.when(~gap, F.col("beneficiarios")))
     return enrolment.share_by_flag(fact, inputs.members(specs), F.lit(True))
+
+
+def yoy_with_gap(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
+    """Market and member lives where one quarter was never landed: no row for it, no change against it."""
+    quarters = {*all_quarters(specs), *[q for s in specs for q in s.anchor_quarters]} - {GAP_QUARTER}
+    return enrolment.market_yoy(Selected(inputs, quarters), specs)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketpulse.functions.numeric import guarded_sum, percent_text, ratio, round_to, scaled
 from marketpulse.functions.periods import closing_month
 from marketpulse.operators import crosstab
-from marketpulse.operators.compare import is_at, series, transpose, year_over_year
+from marketpulse.operators.compare import compared_quarters, is_at, series, year_over_year
 from marketpulse.operators.members import flag_members
 from marketpulse.plans.crosstabs import region_columns
 from marketpulse.schema import dimension
@@ -80,8 +80,7 @@ def region_compare(inputs: Inputs, specs: Sequence[SegmentSpec]) -> DataFrame:
     unit = pick(specs, lambda s: s.lives_unit)
     names = [name for _, name in columns]
     table = table.withColumns({c: scaled(F.col(c), unit, 1) for c in names})
-    periods = {"ant": is_at(specs, "prior"), "atu": is_at(specs, "current")}
-    rows = transpose(table, names, periods, "coluna")
+    rows = compared_quarters(table, specs, names, "coluna")
     return (
         rows.join(_regions(inputs, specs), ["segmento", "coluna"])
         .select("segmento", "ordem", F.col("rotulo").alias("regioes"), "ant", "atu")

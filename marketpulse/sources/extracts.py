@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Collection, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketpulse.functions.names import clean_names
 from marketpulse.functions.periods import QUARTER_ENDS
 from marketpulse.operators.crosstab import to_fact, totals, union_extracts
+from marketpulse.sinks import REQUESTS, file_system
 from marketpulse.spec import SegmentSpec
 
 
@@ -30,18 +31,40 @@ class Extract:
     months: tuple[int, ...] = QUARTER_ENDS
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files that a path, folder or pattern names."""
+    fs, place = file_system(spark, path)
+    found = []
+    for status in fs.globStatus(place) or ():
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        names = [(f.getPath().toString(), f.getPath().getName()) for f in inside if f.isFile()]
+        found += [full for full, name in names if not name.startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(path)
+    return found
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, from its first bytes; compressed files are read through their codec."""
+    fs, place = file_system(spark, path)
+    jvm = spark._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(place)
+    stream = fs.open(place)
+    try:
+        text = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
 def headers(spark: SparkSession, paths: Collection[str]) -> dict[str, str]:
-    """The first line of every file, by one job over all of them."""
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    found = {r.path: r.header.removeprefix("\ufeff") for r in first.collect()}
-    if len(found) < len(set(paths)):
-        raise ValueError(f"{len(set(paths)) - len(found)} of the files {sorted(paths)} have no header")
+    """The first line of every file, read by the driver while the plan is made: a few requests at a time, no job."""
+    with ThreadPoolExecutor(REQUESTS) as pool:
+        files = sorted({f for found in pool.map(lambda p: _files(spark, p), sorted(set(paths))) for f in found})
+        lines = list(pool.map(lambda f: _first_line(spark, f), files))
+    found = {f: line.removeprefix("\ufeff") for f, line in zip(files, lines, strict=True) if line}
+    if len(found) < len(files):
+        raise ValueError(f"{len(files) - len(found)} of the files {files} have no header")
     return found
 
 
@@ -59,11 +82,18 @@ def read_text_crosstab(spark: SparkSession, paths: Sequence[str], sep: str = ","
     return frames
 
 
-def read_extract(spark: SparkSession, extract: Extract, spec: SegmentSpec) -> DataFrame:
+def _tables(spark: SparkSession, extract: Extract, tables: Sequence[DataFrame] | None) -> Sequence[DataFrame]:
+    return read_text_crosstab(spark, extract.paths, extract.sep) if tables is None else tables
+
+
+def read_extract(
+    spark: SparkSession, extract: Extract, spec: SegmentSpec, tables: Sequence[DataFrame] | None = None
+) -> DataFrame:
     """Long fact of one extract, holding the dimensions that the extract has.
 
     Files are unpivoted header by header: each brings its own period columns, and
-    after the unpivot they all have the same few.
+    after the unpivot they all have the same few. ``tables`` are the extract's
+    text crosstabs, if they have been read already.
     """
     facts = [
         to_fact(
@@ -74,16 +104,20 @@ def read_extract(spark: SparkSession, extract: Extract, spec: SegmentSpec) -> Da
             months=extract.months,
             thousands=extract.thousands,
         )
-        for table in read_text_crosstab(spark, extract.paths, extract.sep)
+        for table in _tables(spark, extract, tables)
     ]
     return union_extracts(facts)
 
 
-def read_totals(spark: SparkSession, extract: Extract, spec: SegmentSpec) -> DataFrame | None:
+def read_totals(
+    spark: SparkSession, extract: Extract, spec: SegmentSpec, tables: Sequence[DataFrame] | None = None
+) -> DataFrame | None:
     """The total column of a snapshot by operator; None if the extract is something else."""
     if extract.competencia is None:
         return None
-    tables = read_text_crosstab(spark, extract.paths, extract.sep)
-    found = [totals(t, spec.segmento, extract.competencia, extract.thousands) for t in tables]
+    found = [
+        totals(t, spec.segmento, extract.competencia, extract.thousands)
+        for t in _tables(spark, extract, tables)
+    ]
     found = [t for t in found if t is not None]
     return union_extracts(found) if found else None

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import sum_with_holes
-from marketpulse.sources.inputs import DIMENSIONS
+from marketpulse.sources.inputs import DIMENSIONS, known_quarters
 from marketpulse.sources.members import read_members
 from marketpulse.spec import (
     ACCOUNTS_MED,
@@ -212,6 +212,24 @@ class StarInputs:
             "beneficiarios",
         )
 
+    def held(
+        self,
+        specs: Sequence[SegmentSpec],
+        dims: Collection[str],
+        quarters: Collection[date],
+        anchored: bool = False,
+    ) -> DataFrame:
+        """Quarters with orders, for every segment; reads the order dates alone."""
+        dates = self._table("orders").filter(_ordered_in(quarters))
+        found = dates.agg(F.collect_set(_quarter_of_order()).alias("held"))
+        segments = F.array(*[F.lit(s.segmento) for s in specs])
+        return known_quarters(found.select(F.explode(segments).alias("segmento"), "held"), specs, anchored)
+
+    def serves(
+        self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
+    ) -> bool:
+        return True
+
     def _regions(self) -> DataFrame:
         """Each supplier with the name of its region."""
         nation, region = self._table("nation"), self._table("region")

@@ -100,6 +100,12 @@ def quarter_range(first: date, last: date) -> tuple[date, ...]:
     return tuple(date(i // 4, i % 4 * 3 + 1, 1) for i in range(start, start + n + 1))
 
 
+def later(quarter: date, quarters: int) -> date:
+    """The quarter so many quarters later (or earlier, if negative)."""
+    at = quarter.year * 4 + (quarter.month - 1) // 3 + quarters
+    return date(at // 4, at % 4 * 3 + 1, 1)
+
+
 def all_quarters(specs: Iterable[SegmentSpec]) -> tuple[date, ...]:
     return tuple(sorted({q for s in specs for q in s.quarters}))
 

@@ -613,3 +613,11 @@ FROM groups WINDOW w AS (PARTITION BY segmento)""",
 ORACLE["q43_result_long_layout"] = ORACLE["q12_result_med"]
 ORACLE["q44_result_wide_layout"] = ORACLE["q13_result_odo"]
 ORACLE["q45_share_of_requests"] = ORACLE["q11_share_total"]
+
+# The calendar decides there: the quarter of the year before is joined, not counted back.
+ORACLE["q47_yoy_with_gap"] = f"""WITH {PANEL},
+kept AS (SELECT * FROM series WHERE competencia <> DATE '1998-01-01')
+SELECT a.segmento, a.competencia AS trimestre, a.mercado, a.associadas,
+  {ratio("a.associadas", "b.associadas")} - 1 AS var_tri_assoc, {ratio("a.mercado", "b.mercado")} - 1 AS var_tri_mercado
+FROM kept a LEFT JOIN kept b ON b.segmento = a.segmento AND b.competencia = a.competencia - INTERVAL 1 YEAR
+WHERE year(a.competencia) > 1996"""

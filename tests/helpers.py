@@ -9,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from marketpulse.schema import ENROLMENT, LEDGER, MEMBERS
-from marketpulse.sources.inputs import DIMENSIONS
+from marketpulse.sources.inputs import DIMENSIONS, known_quarters
 from marketpulse.spec import MED, ODO
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,6 +39,14 @@ class FrameInputs:
             "segmento", "competencia", *[d for d in DIMENSIONS if d in dims], "beneficiarios"
         )
 
+    def held(self, specs, dims, quarters, anchored=False):
+        fact = self.enrolment(specs, dims, quarters)
+        sets = fact.groupBy("segmento").agg(F.collect_set("competencia").alias("held"))
+        return known_quarters(sets, specs, anchored)
+
+    def serves(self, specs, dims, quarters):
+        return True
+
     def members(self, specs):
         return self._members.filter(F.col("segmento").isin([s.segmento for s in specs]))
 

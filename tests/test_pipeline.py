@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.plans import pipeline
 from marketpulse.plans.catalog import JOBS
+from marketpulse.sinks import read_mart
 from marketpulse.sources.star import STAR_SPECS, StarInputs
 
 HEADLINES = ["q09_market_yoy", "q20_region_share", "q16_finance_members", "q28_individual_total"]
@@ -63,12 +64,12 @@ def test_run_writes_marts_by_segment(spark, star, tmp_path):
     marts = f"file://{tmp_path}/marts"
     pipeline.run(star, STAR_SPECS, marts, HEADLINES)
     for name in HEADLINES:
-        mart = spark.read.parquet(f"{marts}/{pipeline.mart_name(name)}")
+        mart = read_mart(spark, marts, pipeline.mart_name(name))
         assert as_text(mart) == as_text(JOBS[name](star, STAR_SPECS))
     # One segment's rerun replaces that segment only.
     (med,) = [s for s in STAR_SPECS if s.segmento == "MED"]
     pipeline.run(star, (med,), marts, ["q09_market_yoy"])
-    mart = spark.read.parquet(f"{marts}/market_yoy")
+    mart = read_mart(spark, marts, "market_yoy")
     assert mart.select(F.countDistinct("segmento")).first()[0] == 2
 
 
