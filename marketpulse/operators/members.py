@@ -63,9 +63,10 @@ def panel_rows(panel: DataFrame, quarters: Sequence[date]) -> DataFrame:
 def keep_held(df: DataFrame, held: DataFrame) -> DataFrame:
     """Keeps the quarters that the inputs have: one that was never landed has no rows, not zeros.
 
-    ``held`` has at most a row for each segment and quarter of a request.
+    ``held`` has at most a row for each segment and quarter of a request, so its
+    size lets it be broadcast.
     """
-    return df.join(F.broadcast(held), ["segmento", "competencia"], "left_semi")
+    return df.join(held, ["segmento", "competencia"], "left_semi")
 
 
 def keep_requested(

@@ -224,13 +224,8 @@ def _publish(table: DataFrame, marts: str, name: str, asked) -> None:
     publish(table, marts, mart_name(name), ["segmento", *time], asked)
 
 
-def _held(inputs: Inputs, specs: Sequence[SegmentSpec], quarters: Collection[date]) -> set[tuple[str, date]]:
-    """At most a pair for each segment and quarter of the specs."""
-    return {(r.segmento, r.competencia) for r in inputs.held(specs, set(), quarters).collect()}
-
-
 def rebuild(
-    inputs: Inputs,
+    inputs: LandedInputs,
     specs: Sequence[SegmentSpec],
     marts: str,
     quarters: Collection[date],
@@ -258,8 +253,8 @@ def rebuild(
             span = [later(q, -k) for q in part for k in range(5)]
             if series.counted:
                 around = set(all_quarters(specs)) & {later(q, k) for q in quarters for k in range(-4, 5)}
-                gap = {(s.segmento, q) for s in specs for q in around} - _held(inputs, specs, around)
-                part = None if gap else part
+                whole = len(inputs.pairs_held(specs, set(), around)) == len(specs) * len(around)
+                part = part if whole else None
             if part is not None:
                 source = Selected(inputs, {*span, *(anchor if series.anchored else ())})
         if part is None:

@@ -161,15 +161,22 @@ class LandedInputs:
         anchored: bool = False,
     ) -> DataFrame:
         """From the names of the chosen cut's folders: at most a row for each segment and quarter asked for."""
-        known = self._holds(self._choose(specs, dims, quarters))
+        known = self.pairs_held(specs, dims, quarters)
         for s in specs if anchored else ():
             if not known & {(s.segmento, q) for q in s.anchor_quarters}:
                 raise MissingPeriod(missing_anchor(s))
-        pairs = sorted({(s.segmento, q) for s in specs for q in quarters} & known)
+        pairs = sorted(known)
         rows = [F.struct(F.lit(s).alias("segmento"), F.lit(q).alias("competencia")) for s, q in pairs]
         nothing = F.from_json(F.lit("[]"), "array<struct<segmento string, competencia date>>")
         return self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows) if rows else nothing))
 
+    def pairs_held(
+        self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
+    ) -> set[tuple[str, date]]:
+        """Segments and quarters of the request that are landed, known when the plan is made."""
+        wanted = {(s.segmento, q) for s in specs for q in quarters}
+        return wanted & self._holds(self._choose(specs, dims, quarters))
+
     def serves(
         self, specs: Sequence[SegmentSpec], dims: Collection[str], quarters: Collection[date]
     ) -> bool:
