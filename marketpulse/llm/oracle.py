@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from marketpulse.llm import licenses, repetition, secrets_scan
+import re
+
+from marketpulse.llm import licenses, repetition
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,9 +102,31 @@ f AS (
 SELECT *, NOT base_failed AND NOT (dup_line_share > {repetition.LINE_LIMIT}::DOUBLE OR {" OR ".join(over)}) AS kept FROM f"""
 
 
+#: Patterns of secrets as this engine has them: leftmost matches, neither looking back nor keeping what was taken.
+#: kind, pattern, the group that is the value, its least length, whether it is a base kind.
+_BLANK = r"\x20\x09-\x0D"
+SECRETS = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"\x27]?\x20*[:=]\x20*[\"\x27]?([A-Za-z0-9+/_.=-]+)", 2, 12, True),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18, True),
+    ("hex", r"[0-9a-f]{16,}", 0, 16, True),
+    ("bearer", r"(?:[Bb]earer|BEARER)\x20+([A-Za-z0-9+/_.=~-]{20,})", 1, 20, False),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, False),
+    ("prefixed", r"(?:gh[opsru]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{20,}", 0, 24, False),
+    ("url", rf"[a-z0-9+]{{2,}}://[^{_BLANK}/:@]*:([^{_BLANK}/:@]{{6,}})@", 1, 6, False),
+    (
+        "key",
+        rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.{_BLANK}-]{{64,}}?-----END [A-Z ]*PRIVATE KEY-----"
+        rf"|[A-Za-z0-9+/={_BLANK}]{{64,}})",
+        0,
+        90,
+        False,
+    ),
+)
+
+
 def _secrets() -> str:
     parts = []
-    for rank, (kind, pattern, group, least, _, _) in enumerate(secrets_scan.KINDS):
+    for rank, (kind, pattern, group, least, _) in enumerate(SECRETS):
         p = _quote(pattern)
         parts.append(f"""SELECT r, {rank} AS k, '{kind}' AS kind,
   list_sum([len(x) for x in gaps[1:i]]) + coalesce(list_sum([len(x) for x in m[1:i - 1]]), 0) AS s,
@@ -111,7 +135,7 @@ FROM (SELECT r, gaps, m, v, unnest(range(1, len(m) + 1)) AS i
       FROM (SELECT r, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS m,
               regexp_extract_all(t, {p}, {group}) AS v FROM d WHERE regexp_matches(t, {p})))
 WHERE len(v[i]) >= {least}""")
-    base = sum(x[4] for x in secrets_scan.KINDS)
+    base = sum(x[4] for x in SECRETS)
 
     def listed(where: str) -> str:
         return f"coalesce(string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, k) FILTER ({where}), '')"
@@ -129,7 +153,7 @@ found AS ({" UNION ALL ".join(parts)}),
 pairs AS (SELECT DISTINCT v, owner, repository FROM found JOIN d USING (r)),
 examples AS (
   SELECT v FROM (SELECT v, owner, count(*) AS n FROM pairs GROUP BY v, owner) GROUP BY v
-  HAVING count(*) >= {secrets_scan.MIN_OWNERS} AND sum(n) >= {secrets_scan.MIN_REPOSITORIES}
+  HAVING count(*) >= 3 AND sum(n) >= 3
 ),
 marked AS (SELECT r, k, kind, s, size, examples.v IS NOT NULL AS copied FROM found LEFT JOIN examples USING (v))
 SELECT any_value(doc_id) AS doc_id, {count("assign")}, {count("access")}, {count("hex")},
@@ -145,9 +169,12 @@ def _licenses() -> str:
         same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
         phrases.append(f"""SELECT r, i - 1 AS i, '{label}' AS label
 FROM (SELECT r, w, unnest(range(1, len(w) - {len(parts)} + 2)) AS i FROM d) WHERE {same}""")
-    rows = ", ".join(
-        f"('{label}', {[*licenses.template_words(text)]})" for label, text in licenses.TEMPLATES
-    )
+    templates = []
+    for label, text in licenses.TEMPLATES:
+        own, total = licenses.template_words(text), len(re.findall("[0-9a-z]+", text.lower()))
+        lists = own, licenses.naming_words(label, text), [*licenses.OTHERS.get(label, ())]
+        templates.append(f"('{label}', {', '.join(f'CAST({x} AS VARCHAR[])' for x in lists)}, {total})")
+    rows = ", ".join(templates)
     return f"""WITH
 d AS (
   SELECT doc_id, row_number() OVER () AS r, {_lowered("text")} AS t, {_words(_lowered("text"), _PLAIN)} AS w FROM documents
@@ -157,12 +184,27 @@ base AS (
   SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
   FROM places GROUP BY r
 ),
-templates(label, own) AS (VALUES {rows}),
-blocks AS (SELECT r, {_words("line", _PLAIN)} AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+templates(label, own, names, others, total) AS (VALUES {rows}),
+vocabulary AS (SELECT list(DISTINCT x) AS words FROM (SELECT unnest(own || others) AS x FROM templates)),
+lines AS (
+  SELECT r, [regexp_extract_all(line, {_quote(_PLAIN)}) for line in string_split(t, chr(10))] AS w FROM d
+),
+blocks AS (
+  SELECT r, false AS run, unnest(w) AS w FROM lines
+  UNION ALL
+  SELECT r, true, flatten(w[i:i + 11])
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM lines WHERE len(w) > 1), vocabulary
+  WHERE list_has_any(w[i], words)
+),
 met AS (
   SELECT r, label, CAST(shared AS DOUBLE) / size AS containment
-  FROM (SELECT r, label, len(list_intersect(list_distinct(w), own)) AS shared, len(own) AS size FROM blocks, templates)
-  WHERE 100 * shared >= {round(100 * licenses.CONTAINMENT)} * size
+  FROM (
+    SELECT r, run, w, label, names, others, total, len(list_intersect(list_distinct(w), own)) AS shared, len(own) AS size
+    FROM blocks, templates
+  )
+  WHERE list_has_all(w, names) AND NOT list_has_any(w, others)
+    AND CASE WHEN size < 16 THEN shared = size AND NOT run AND len(w) <= size + 12
+        ELSE 100 * shared >= 80 * size AND (NOT run OR len(w) <= 4 * total) END
 ),
 best AS (SELECT r, list(DISTINCT label) AS labels, max(containment) AS best FROM met GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base,

@@ -53,10 +53,20 @@ KINDS = (
         False,
         ("gh", "glpat-", "xox", "sk_live_", "AIza"),
     ),
-    ("url", r"[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@", 1, 6, False, ("://",)),
+    # The whole run before "://", so that every run is looked at once; any user, or none, and any password.
+    (
+        "url",
+        r"(?<![a-z0-9+])[a-z0-9+]{2,}+://[^\x20\x09-\x0D/:@]*+:([^\x20\x09-\x0D/:@]{6,}+)@",
+        1,
+        6,
+        False,
+        ("://",),
+    ),
+    # Up to its end mark, with header lines if it has any; or what may be a key that lacks the mark.
     (
         "key",
-        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{64,}",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+        r"(?:[A-Za-z0-9+/=:,.\x20\x09-\x0D-]{64,}?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\x20\x09-\x0D]{64,})",
         0,
         90,
         False,
