@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier of character n-grams, whose features are scaled by naive Bayes log-count ratios.
 
-A feature is whether a text has an n-gram of ORDERS bytes (lower case, a blank before and after the text), hashed to
-2**BITS values. Document counts by class give each feature its log-count ratio; features whose ratio says little are
-left out, the others are scaled by it and weighted by logistic regression. A part of the sample is kept to fit the
-line that turns sums into probabilities.
+A feature is whether a text has an n-gram of ORDERS characters (lower case of every script, a blank before and after
+the text), hashed to 2**BITS values. Document counts by class give each feature its log-count ratio; features whose
+ratio is small, or no more than LEAST_ERRORS of its own standard error, are left out, the others are scaled by it and
+weighted by logistic regression. A part of the sample is kept to fit the line that turns sums into probabilities.
 
 The classifier is fitted on a bounded sample (`labelled.SAMPLE_ROWS` documents): counts and chosen features are made
 by tasks; the driver gets at most 2**BITS counts and the sample's chosen features. Without both classes in the
@@ -17,21 +17,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm import frames, labelled, words
+from marketpulse.llm import frames, labelled, pieces, words
 
-ORDERS = (5, 6, 7)
-BITS = 20
+ORDERS = (4, 6, 8)
+BITS = 22
 SMOOTHING = 1.0
 LEAST_RATIO = 1.2
-PENALTY = 10.0
+LEAST_ERRORS = 1.35
+PENALTY = 30.0
 STEPS = 80
-RARE_WEIGHT = 0.75
+RARE_WEIGHT = 2.0
 THRESHOLD = 0.7
 FOLDS, FOLD = 3, 1
 #: Bytes of text whose n-grams are held at a time; there are three for each byte.
@@ -42,8 +45,11 @@ _CALIBRATION = 4  # every fourth document of the sample
 
 def grams(column: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs of a column of texts; of features with a true value in `chosen` only."""
-    data, bounds = words.text_bytes(column, lower=True)
-    data = words._BYTES[np.insert(data, bounds, 32)]
+    data, bounds = words.text_bytes(pc.utf8_lower(frames.strings(column)))
+    points, at = pieces.code_points(data)
+    if at is not None:
+        bounds = np.searchsorted(at, bounds)
+    data = words.mix(np.insert(points.astype(np.uint64), bounds, 32) + np.uint64(1))
     pads = bounds + np.arange(len(bounds))
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(pads))
     last = pads[1:][owner]
@@ -77,11 +83,18 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        chosen = np.zeros(1 << BITS, bool)
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # those are made again in each task
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        chosen, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
         chosen[self.features] = True
-        weight = np.zeros(1 << BITS)
         weight[self.features] = self.weights
+        return chosen, weight
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        chosen, weight = self.tables
         owner, feature = grams(column, chosen)
         sums = np.bincount(owner, weight[feature], minlength=len(column)) + self.bias
         return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
@@ -108,15 +121,25 @@ def _line(sums: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     Targets are smoothed towards the classes' sizes; the rarer class counts more, by a power of how much rarer it is.
     """
     high, low = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
-    target, a, b = np.where(y == 1, high, low), 1.0, 0.0
+    target = np.where(y == 1, high, low)
     weight = np.where(y == 1, ((len(y) - y.sum()) / y.sum()) ** RARE_WEIGHT, 1.0)
+
+    def loss(a: float, b: float) -> float:
+        x = a * sums + b
+        return float((weight * (np.logaddexp(0, x) - target * x)).sum() + 5e-4 * (a - 1) ** 2)
+
+    a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * sums + b, -35, 35)))
         w = weight * np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(w * sums * sums).sum() + 1e-3, (w * sums).sum()], [(w * sums).sum(), w.sum() + 1e-6]])
         error = weight * (p - target)
         g = np.array([(error * sums).sum() + 1e-3 * (a - 1), error.sum()])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
+        step, now = np.linalg.solve(h, g), loss(a, b)
+        for _ in range(40):  # a step that does not improve the fit is halved
+            if loss(a - step[0], b - step[1]) <= now:
+                break
+            step = step / 2
         a, b = a - step[0], b - step[1]
     return (a, b) if a > 0 else (1.0, 0.0)
 
@@ -132,14 +155,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     clean = total - toxic
     per_toxic = F.col("clean") * (toxic / clean)
     ratio = F.log((F.col("toxic") + SMOOTHING) / (per_toxic + SMOOTHING))
+    error = F.sqrt(1 / (F.col("toxic") + SMOOTHING) + 1 / (per_toxic + SMOOTHING))
     counted = (
         sample.select("text", "label")
         .mapInArrow(_counts, "feature long, clean long, toxic long")
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(F.col("clean") + F.col("toxic") >= 2)
-        .select("feature", ratio.alias("ratio"))
-        .where(F.abs("ratio") > LEAST_RATIO)
+        .select("feature", ratio.alias("ratio"), error.alias("error"))
+        .where((F.abs("ratio") > LEAST_RATIO) & (F.abs("ratio") > LEAST_ERRORS * F.col("error")))
+        .select("feature", "ratio")
         .orderBy("feature")
         .toPandas()
     )

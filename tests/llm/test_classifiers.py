@@ -39,7 +39,18 @@ def test_held_out_quality(spark):
 
 def test_held_out_toxicity(spark):
     rate = rates(spark, toxicity, "toxic")
-    assert rate[0] < 0.01 and rate[1] > 0.5
+    assert rate[0] < 0.01 and rate[1] >= 0.9
+
+
+def test_toxic_grams_are_characters():
+    """Any script, capitals as small letters, and no gram that begins or ends within a character."""
+    texts = ["идиот МУСОР 日本語テキスト", "ИДИОТ мусор 日本語テキスト", "éÉ" * 9]
+    owner, feature = toxicity.grams(pa.array(texts))
+    sets = [set(feature[owner == k].tolist()) for k in range(3)]
+    assert sets[0] == sets[1]
+    padded = f" {texts[0].lower()} "
+    assert len(sets[0]) == len({padded[i : i + n] for n in toxicity.ORDERS for i in range(len(padded) - n + 1)})
+    assert len(sets[2]) == len({f" {'éé' * 9} "[i : i + n] for n in toxicity.ORDERS for i in range(20 - n + 1)})
 
 
 def test_labels_of_the_held_out_fold_are_never_used(spark):
