@@ -1,7 +1,10 @@
 """HTML extraction by text-to-tag ratios.
 
 The standard library's parser streams events; block-level tags end a line. Lines under elements that never hold an
-article's text (menus, forms, scripts, ...), by tag name, role or a word of their class or id, are marked. Every line
+article's text (menus, forms, scripts, ...), by tag name, role, class or id, are marked. A name counts if all its words
+say so (`site-footer`, but not `has-sidebar`). Such a name, and a form, may also be around the whole page: an article or
+main element inside lifts its mark, and so does nearly all of the page's text being in it; other marks (scripts, menus,
+comments, what is hidden) are never lifted. Every line
 has a ratio of text outside links to tags, marked lines have 0; the ratios are smoothed with a Gaussian, a threshold (the
 deviation of the smoothed ratios) clusters the lines into content and the rest, and neighbouring content lines form
 regions. A region inside an article element or a container named as one is widened to the outermost of these, with its
@@ -33,6 +36,7 @@ from marketpulse.llm import frames
 
 SIGMA = 1.0
 REGION_SHARE = 0.5
+WRAPPER_SHARE = 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -55,6 +59,14 @@ DROPPED_WORDS = frozenset(
     " respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe"
     " subscription teaser toc toolbar tooltip widget widgets".split()
 )
+#: Words that may stand beside them in a name.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box button buttons container content fixed global group holder inner item items left link"
+    " links list main module outer overlay page panel posts primary right row secondary section side site stories text"
+    " top wrap wrapper".split()
+)
+#: Words that name what readers wrote; with these a name is never lifted.
+COMMENT_WORDS = frozenset("comment commentlist comments discussion disqus feedback replies reply respond responses".split())
 #: Words that name a container of the article, as article and main elements do.
 CONTAINER_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
 _KEPT_TAGS = frozenset(("html", "body", "main", "article"))
@@ -80,6 +92,7 @@ class Line:
     tags: int
     linked: int  # characters inside links
     marked: bool
+    wrappers: tuple[int, ...]  # marked elements it is in, whose marks may be lifted
     container: int  # the outermost article element or named container it is in, or 0
     heading: bool
 
@@ -88,6 +101,7 @@ class Line:
 class _Open:
     tag: str
     marked: bool
+    wrappers: tuple[int, ...]
     container: int
     heading: bool
 
@@ -98,7 +112,8 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack = [_Open("", False, 0, False)]
+        self.stack = [_Open("", False, (), 0, False)]
+        self.wrappers = 0
         self.open: dict[str, int] = {}
         self.parts: list[str] = []
         self.tags = 0
@@ -110,13 +125,14 @@ class _Lines(HTMLParser):
         self.parts.clear()
         if text:
             top = self.stack[-1]
-            self.lines.append(Line(text, self.tags, self.linked, top.marked, top.container, top.heading))
+            self.lines.append(Line(text, self.tags, self.linked, top.marked, top.wrappers, top.container, top.heading))
             self.tags = 0
         self.linked = 0
 
     def _pop(self, size: int) -> None:
         """Close elements down to `size` open ones."""
-        if any(o.tag in BLOCK or o.marked != self.stack[size - 1].marked for o in self.stack[size:]):
+        below = self.stack[size - 1]
+        if any(o.tag in BLOCK or (o.marked, o.wrappers) != (below.marked, below.wrappers) for o in self.stack[size:]):
             self._end_line()
         for closed in self.stack[size:]:
             self.open[closed.tag] -= 1
@@ -145,21 +161,28 @@ class _Lines(HTMLParser):
             return
         top = self.stack[-1]
         values = dict(attrs)
-        named = " ".join(values.get(k) or "" for k in ("class", "id", "role", "itemprop"))
-        found = set(_WORDS.findall(named.lower())) if named.strip() else set()
+        tokens = " ".join(values.get(k) or "" for k in ("class", "id", "role", "itemprop")).lower().split()
+        named = [set(_WORDS.findall(t)) for t in tokens]
+        found = set().union(*named)
+        said = [n for n in named if not n.isdisjoint(DROPPED_WORDS) and n <= DROPPED_WORDS | NEUTRAL_WORDS]
         style = (values.get("style") or "").replace(" ", "").lower()
         unseen = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in style
-        kept = tag in _KEPT_TAGS and "comment" not in found and "comments" not in found
-        marked = top.marked or tag in DROPPED or unseen or (not kept and not found.isdisjoint(DROPPED_WORDS))
+        by_readers = any(not n.isdisjoint(COMMENT_WORDS) for n in said)
+        kept = tag in _KEPT_TAGS and not by_readers
+        marked = top.marked or unseen or by_readers or (tag in DROPPED and tag != "form")
+        wrappers = () if tag in ("article", "main") else top.wrappers
+        if not marked and (tag == "form" or (said and not kept)):
+            self.wrappers += 1
+            wrappers = (*wrappers, self.wrappers)
         container = top.container
         names = tag in ("article", "main") or (tag in _NAMED and not found.isdisjoint(CONTAINER_WORDS))
-        if names and not marked and not container:
+        if names and not marked and not wrappers and not container:
             self.names += 1
             container = self.names
-        if marked and not top.marked:
+        if (marked, wrappers) != (top.marked, top.wrappers):
             self._end_line()
         heading = tag in _HEADINGS or (top.heading and tag not in BLOCK)
-        self.stack.append(_Open(tag, marked, container, heading))
+        self.stack.append(_Open(tag, marked, wrappers, container, heading))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -204,9 +227,28 @@ def lines(html: str) -> list[Line]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
+    lift(parser.lines)
     return parser.lines
 
 
+def lift(found: list[Line]) -> None:
+    """Marks the lines of wrappers, but for those that hold nearly all of the page's text outside links.
+
+    None does where an article or a named container has text of its own outside of wrappers.
+    """
+    size = [max(0, len(x.text) - x.linked) for x in found]
+    total = sum(n for n, x in zip(size, found, strict=True) if not x.marked)
+    held: dict[int, int] = {}
+    for n, x in zip(size, found, strict=True):
+        if not x.marked and x.wrappers:
+            held[x.wrappers[-1]] = held.get(x.wrappers[-1], 0) + n
+    apart = any(x.container and not x.marked and not x.wrappers for x in found)
+    main = {w for w, n in held.items() if n > WRAPPER_SHARE * total and not apart}
+    for x in found:  # what is around such a wrapper is lifted with it
+        lifted = max((k for k, w in enumerate(x.wrappers) if w in main), default=-1)
+        x.marked = x.marked or lifted + 1 < len(x.wrappers)
+
+
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian means over neighbours; the kernel is cut at the ends and made to sum to 1 there."""
     reach = max(1, round(3 * sigma))

@@ -1,5 +1,7 @@
 """Pages with several containers, nested ones, and ones that are not the article."""
 
+import pytest
+
 from marketpulse.llm import htmltext
 
 
@@ -39,3 +41,32 @@ def test_many_containers_on_one_page():
 def test_threshold_decides_before_containers():
     page = f"<body><article><p>A short note of little weight.</p></article><div>{paragraphs(*range(8))}</div></body>"
     assert htmltext.main_text(page).split("\n") == [text(k) for k in range(8)]
+
+
+ARTICLE = "<h1>Title</h1><p>" + "Word of the long article text. " * 20 + "</p><p>Second paragraph here.</p>"
+LAYOUTS = [
+    '<div class="layout has-sidebar"><article>%s</article><div class="sidebar">menu of things</div></div>',
+    '<div class="page no-sidebar">%s</div>',
+    '<div class="content with-toc">%s<div class="toc">1 2 3</div></div>',
+    '<div id="search-results-page"><main>%s</main></div>',
+    '<div class="search-page"><main>%s<div class="comments"><p>A reader says so.</p></div></main></div>',
+    '<form id="aspnetForm"><input name="q"><article>%s</article><div class="site-footer">imprint</div></form>',
+    '<form id="aspnetForm"><div>%s</div><div class="related-posts"><p>See this too</p></div></form>',
+    '<div class="widget-area"><main>%s</main></div><div class="comments-area"><article>A reader says so.</article></div>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_wrappers_of_everyday_layouts(layout):
+    page = f"<html><body><nav>Home</nav>{layout % ARTICLE}<footer>Imprint</footer></body></html>"
+    expected = ["Title", " ".join(["Word of the long article text."] * 20), "Second paragraph here."]
+    assert htmltext.main_text(page) == "\n".join(expected)
+
+
+def test_wrappers_that_stay_marked():
+    body = "".join(f"<p>{'Plain text of the page. ' * 10}</p>" for _ in range(5))
+    for name in ("comments", "comment-list", "discussion"):  # however long, never the article
+        assert htmltext.main_text(f'<body><div class="{name}">{body}</div><p>The page.</p></body>') == "The page."
+    advert = f'<div class="ad">{body}</div><article><p>Short.</p></article>'
+    assert htmltext.main_text(f"<body>{advert}</body>") == "Short."
+    assert htmltext.main_text(f'<body><div hidden><article>{body}</article></div><p>The page.</p></body>') == "The page."
