@@ -1,14 +1,13 @@
 """BPE encoding and decoding with the vocabulary file of a public byte-level tokenizer.
 
-A task cuts its texts into pieces at blanks, keeps each distinct piece once, splits the new ones into words by the
-tokenizer's rule, and encodes all new distinct words together: an index maps each pair of neighbouring symbols to
-all its positions; ranks are taken in ascending order, all positions of a rank are merged at once, and the positions
-of the pairs that this makes join the lists of their ranks. (A merge makes a symbol that only later ranks use, so
-ascending order over all words gives what the usual order gives for each word.) Decoding concatenates the bytes of
-the tokens.
+A task cuts its texts into words by the tokenizer's rule and encodes all new distinct words together: an index maps
+each pair of neighbouring symbols to all its positions; ranks are taken in ascending order, all positions of a rank
+are merged at once, and the positions of the pairs that this makes join the lists of their ranks. (A merge makes a
+symbol that only later ranks use, so ascending order over all words gives what the usual order gives for each word.)
+Decoding gathers the bytes of the tokens.
 
-A worker remembers pieces and words up to `CACHE_ENTRIES` each, which changes speed only. The text of a special token becomes that
-token, as the library's default has it.
+A worker remembers words in two generations of `CACHE_ENTRIES` each, which changes speed only. The text of a special
+token becomes that token, as the library's default has it.
 
 Nulls: a null text is empty and has no tokens; a null id stays null. Repeated documents give a row each. Memory
 follows `SHARE_BYTES` or the longest text.
@@ -24,26 +23,16 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm import frames
+from marketpulse.llm import frames, pieces, words
 
-CACHE_ENTRIES = 120_000
-CACHED_LENGTH = 40
+CACHE_ENTRIES = 400_000
+CACHED_LENGTH = 64
 #: Bytes of text whose new words are encoded together.
 SHARE_BYTES = 4 << 20
 
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The word rule of byte-level tokenizers. A fixed value.
-_WORD = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-)
-_SPACES_BEFORE_BLANK = [c + " " for c in " \t\n\x0b\x0c\r"]
-_OTHER_SPACE = re.compile(rf"[{_SPACE[6:]}]")
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -67,14 +56,17 @@ class Vocabulary:
         byte_of = {c: b for b, c in enumerate(characters)}
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
-        self.special_rule = re.compile("|".join(map(re.escape, longest_first))) if self.special else None
+        self.special_rule = re.compile(b"|".join(re.escape(t.encode()) for t in longest_first)) if self.special else None
         self.base = np.array([ids[c] for c in characters], np.int64)
         size = max([*ids.values(), *self.special.values()]) + 1
-        self.bytes: list[bytes] = [b""] * size
+        tokens = [b""] * size
         for token, k in ids.items():
-            self.bytes[k] = bytes(byte_of[c] for c in token)
+            tokens[k] = bytes(byte_of[c] for c in token)
         for token, k in self.special.items():
-            self.bytes[k] = token.encode()
+            tokens[k] = token.encode()
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.place = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.left = np.array([ids[a] for a, _ in merges], np.int64)
         self.right = np.array([ids[b] for _, b in merges], np.int64)
@@ -96,11 +88,11 @@ class Vocabulary:
 class PairIndex:
     """Symbols of many words, chained within each word, and for each rank the positions of its pair."""
 
-    def __init__(self, found: list[bytes], vocabulary: Vocabulary):
-        sizes = np.array([len(w) for w in found], np.int64)
+    def __init__(self, data: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary):
+        sizes = np.diff(ends, prepend=0)
         self.vocabulary = vocabulary
-        self.ends = np.cumsum(sizes)
-        self.symbol = vocabulary.base[np.frombuffer(b"".join(found), np.uint8)]
+        self.ends = ends
+        self.symbol = vocabulary.base[data]
         n = len(self.symbol)
         self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         self.after[self.ends - 1] = -1
@@ -151,89 +143,71 @@ class PairIndex:
         at = np.sort(np.concatenate([first[first >= 0], at[follows]]))
         self._add(at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at)
 
-    def encode(self) -> list[bytes]:
-        """Token ids of each word, as little-endian 32-bit integers."""
+    def encode(self) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, and the number of ids of each."""
         while self.active:
             self._merge(heappop(self.active))
         kept = np.flatnonzero(self.alive)
-        ends = (4 * np.searchsorted(kept, self.ends)).tolist()
-        ids = self.symbol[kept].astype("<i4").tobytes()
-        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def cut(text: str) -> list[str]:
-    """Pieces between blanks that the word rule treats alike alone and in the text.
-
-    A cut is made at a blank that follows no other space; the blank belongs to the piece after it and is left out.
-    """
-    parts = text.split(" ")
-    if (text.isascii() or not _OTHER_SPACE.search(text)) and not any(c in text for c in _SPACES_BEFORE_BLANK):
-        return parts
-    out, held = [], [parts[0]]
-    for part in parts[1:]:
-        whole = len(held) == 1 and not out  # the first piece has no blank before it
-        if (held[-1] and not held[-1][-1].isspace()) or (whole and not held[0]):
-            out.append(" ".join(held))
-            held = [part]
-        else:
-            held.append(part)
-    return [*out, " ".join(held)]
+        return self.symbol[kept].astype(np.int32), np.diff(np.searchsorted(kept, self.ends), prepend=0)
 
 
 class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Token ids of pieces, whose new words are encoded together."""
-        split = [_WORD.findall(p) for p in pieces]
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        known = self.words
-        new = list(set().union(*split).difference(known))
-        ids = dict(zip(new, PairIndex([w.encode() for w in new], self.vocabulary).encode(), strict=True)) if new else {}
-        known.update((w, x) for w, x in ids.items() if len(w) <= CACHED_LENGTH)
-        return [b"".join([known[w] if w in known else ids[w] for w in parts]) for parts in split]
+        self.memo = pieces.Memo(
+            lambda data, ends: PairIndex(data, ends, self.vocabulary).encode(),
+            CACHE_ENTRIES,
+            CACHED_LENGTH,
+            np.dtype(np.int32),
+        )
+
+    def _specials(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of special tokens in the texts."""
+        rule, found, text = self.vocabulary.special_rule, [], data.tobytes()
+        if rule and rule.search(text):
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                found += [(a + m.start(), a + m.end(), self.vocabulary.special[m[0].decode()]) for m in rule.finditer(text[a:b])]
+        start, end, ids = np.array(found, np.int64).reshape(-1, 3).T
+        return start, end, ids
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, and where each text's begin, and the end."""
+        data, bounds = words.text_bytes(column)
+        special, after, special_ids = self._specials(data, bounds)
+        start = pieces.byte_level(data, np.union1d(bounds, np.union1d(special, after)))
+        end = np.append(start[1:], len(data))
+        if len(special):
+            inside = np.searchsorted(special, start, "right") - 1
+            plain = (inside < 0) | (start >= after[inside])
+            start, end = start[plain], end[plain]
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(start):  # a long text's words go in shares too
+            stop = max(at + 1, int(np.searchsorted(start, start[at] + SHARE_BYTES)))
+            low, high = start[at], end[stop - 1]
+            some, number = self.memo.encode(data[low:high], start[at:stop] - low, end[at:stop] - low)
+            ids.append(some)
+            counts.append(number)
+            at = stop
+        ids, sums = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        first = sums[np.searchsorted(start, bounds)]
+        if len(special):
+            ids = np.insert(ids, sums[np.searchsorted(start, special)], special_ids)
+            first = first + np.searchsorted(special, bounds)
+        return ids, first
+
+    def decode_column(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts, and where each text's begin, and the end."""
+        size = self.vocabulary.size[ids]
+        return pieces.gather(self.vocabulary.data, self.vocabulary.place[ids], size), np.concatenate([[0], np.cumsum(size)])[bounds]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        rule, heads, tails, plan = self.vocabulary.special_rule, [], [], []
-        for text in texts:
-            parts, at = [], 0
-            for m in rule.finditer(text) if rule else ():
-                parts += [text[at : m.start()], self.vocabulary.special[m[0]]]
-                at = m.end()
-            for k, part in enumerate([*parts, text[at:]]):
-                first, *rest = cut(part) if k % 2 == 0 else [part]
-                heads.append(first if k % 2 == 0 else "")
-                tails.append(rest if k % 2 == 0 else part)
-            plan.append(len(parts) + 1)
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        known = self.pieces
-        new = list(set().union(*(t for t in tails if isinstance(t, list))).difference(known))
-        learnt = self._learn([*(" " + p for p in new), *heads])
-        known.update(zip(new, learnt, strict=False))
-        out, at = [], 0
-        for size in plan:
-            ids = []
-            for k in range(at, at + size):
-                if isinstance(tails[k], list):
-                    ids.append(learnt[len(new) + k])
-                    ids += map(known.__getitem__, tails[k])
-                else:
-                    ids.append(int(tails[k]).to_bytes(4, "little"))
-            out.append(np.frombuffer(b"".join(ids), "<i4"))
-            at += size
-        for p in new:
-            if len(p) > CACHED_LENGTH:
-                del known[p]
-        return out
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.decode_column(np.asarray(ids), np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -259,10 +233,11 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in frames.slices(batches, limit=SHARE_BYTES):
-            ids = own.encode(frames.strings(batch.column("text")).to_pylist())
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32)))
-            decoded = pa.array([own.decode(x) for x in ids], pa.string())
+            ids, bounds = own.encode_column(batch.column("text"))
+            data, places = own.decode_column(ids, bounds)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            offsets = pa.py_buffer(places.astype(np.int32).tobytes())
+            decoded = pa.Array.from_buffers(pa.binary(), len(lists), [None, offsets, pa.py_buffer(data.tobytes())])
             others = [batch.column(f"_{c}") for c in keep]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded, *others], names)
 
@@ -270,7 +245,8 @@ def encode(
     names = ["doc_id", "ids", "decoded", *(f"_{c}" for c in keep)]
     kinds = dict(rows.dtypes)
     kept = "".join(f", `_{c}` {kinds[f'_{c}']}" for c in keep)
-    out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, ids array<int>, decoded string{kept}")
+    out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, ids array<int>, decoded binary{kept}")
+    out = out.withColumn("decoded", F.col("decoded").cast("string"))
     return out.withColumnsRenamed({f"_{c}": c for c in keep})
 
 
