@@ -10,7 +10,7 @@ Tasks write to names of their own and rename when complete, so an attempt that d
 name and a repeated task replaces equal content. Only the number of ids per file goes to the driver.
 
 The library encodes each distinct piece between blanks once (its rules drop white space and never look across it);
-a worker remembers up to twice `CACHE_ENTRIES` pieces, which changes speed only.
+a worker remembers pieces in two generations of `CACHE_ENTRIES` each, which changes speed only.
 
 Nulls: a null text is empty and has the end id alone; documents with a null id come first. Repeated documents are
 written once each, in one run. An empty table gives no files. Memory follows `SLICE_BYTES` or the longest text.
@@ -19,10 +19,9 @@ written once each, in one run. An empty table gives no files. Memory follows `SL
 from __future__ import annotations
 
 import os
-import re
 import uuid
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm import frames
+from marketpulse.llm import frames, pieces, words
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 END_ID = 1
-CACHE_ENTRIES = 300_000
-CACHED_LENGTH = 40
-SHARE_BYTES = 8 << 20
-
-#: Only a text without characters beyond these is lower-cased before its pieces are told apart.
-_BEYOND = re.compile("[^\x00-\u024f]")
-#: A comma or stop after another mark: the two are one word to the tokenizer.
-_MARKS = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])(?=\s)")
-#: Characters that Python takes for white space and the tokenizer does not.
-_CONTROLS = "\x1c\x1d\x1e\x1f"
-_SPACES = re.compile("[ \t-\r]+")
-
+#: Pieces that a worker remembers, in each of two generations, and the longest of them in bytes.
+CACHE_ENTRIES = 400_000
+CACHED_LENGTH = 64
+#: Pieces that the library gets at a time.
+LEARNT = 20_000
+SHARE_BYTES = 4 << 20
 
 def default_path() -> str:
     import public_tokenizers
@@ -55,19 +48,30 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def cut(text: str) -> list[str]:
-    """Pieces of a text that the tokenizer's rules treat alike alone and in the text.
+def cut(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that the tokenizer's rules treat alike alone and in the text: the bytes to encode, starts and ends.
 
-    They are cut at white space, and plain texts also before a comma or stop that ends a word, so that fewer
-    pieces differ.
+    They are cut at white space and, unless the texts may hold special tokens, also between a plain letter and a
+    plain mark after it, so that fewer pieces differ. For the same reason A-Z are lower-cased, unless a combining
+    mark might join a capital to another character than it would join the small letter to.
     """
-    if any(c in text for c in _CONTROLS):
-        return _SPACES.split(text)
-    if "<|" not in text and (text.isascii() or not _BEYOND.search(text)):
-        text = text.lower()
-        if not _MARKS.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
-    return text.split()
+    points, at = pieces.code_points(data)
+    kind = pieces.classes()[points]
+    if not (kind == pieces.MARK).any():
+        data = words.lowered(data)
+    inside = kind != pieces.SPACE
+    if at is not None:
+        inside = np.repeat(inside, np.diff(at, append=len(data)))
+    start, end, _ = words.runs(inside, bounds)
+    if b"<|" not in data.tobytes():
+        letter = words.LETTERS[data]
+        mark = (data < 128) & ~words.ALPHANUMERIC[data] & inside & ~letter
+        starts, ends = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        starts[1:-1] = ends[1:-1] = letter[:-1] & mark[1:]
+        starts[bounds] = ends[bounds] = False
+        starts[start] = ends[end] = True
+        start, end = np.flatnonzero(starts), np.flatnonzero(ends)
+    return data, start, end
 
 
 class Encoder:
@@ -79,29 +83,33 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # those of the time before, of which the used ones are taken over
+        self.memo = pieces.Memo(self._learn, CACHE_ENTRIES, CACHED_LENGTH, self.kind)
+
+    def _learn(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that lie one after the other, by the library, and the number of ids of each."""
+        offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes())
+        column = pa.Array.from_buffers(pa.large_string(), len(ends), [None, offsets, pa.py_buffer(data.tobytes())])
+        ids, counts = [], []
+        for at in range(0, len(ends), LEARNT):
+            found = self.tokenizer.encode_batch_fast(column.slice(at, LEARNT).to_pylist(), add_special_tokens=False)
+            lists = [x.ids for x in found]
+            counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), self.kind, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode_column(self, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, the end id after each, and where each text's begin, and the end."""
+        data, bounds = words.text_bytes(column)
+        data, start, end = cut(data, bounds)
+        ids, counts = self.memo.encode(data, start, end)
+        first = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(start, bounds)]
+        ids = np.insert(ids, first[1:], end_id)
+        return ids, first + np.arange(len(first))
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Ids of each text and the end id, as bytes of the encoder's kind."""
-        split = [cut(text) for text in texts]
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces, self.older = {}, self.pieces
-        known, older = self.pieces, self.older
-        new = set().union(*split).difference(known)
-        known.update((p, older[p]) for p in new.intersection(older))
-        new = list(new.difference(older))
-        code = "H" if self.kind.itemsize == 2 else "I"
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((p, array(code, x.ids).tobytes()) for p, x in zip(part, found, strict=True))
-        end = array(code, [end_id]).tobytes()
-        out = [b"".join([*map(known.__getitem__, pieces), end]) for pieces in split]
-        for p in new:
-            if len(p) > CACHED_LENGTH:
-                del known[p]
-        return out
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()), end_id)
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -185,11 +193,10 @@ def write(
                 store.create_dir(place, recursive=True)
                 sink = store.open_output_stream(f"{temporary}.ids")
                 writer = SequenceWriter(sink, own.kind, length)
-            encoded = own.encode(frames.strings(batch.column("text")).to_pylist())
-            for document in encoded:
-                writer.add(document)
+            encoded, places = own.encode_column(batch.column("text"))
+            writer.add(encoded.tobytes())
             ids.append(batch.column("doc_id"))
-            sizes.append(np.array([len(x) // own.kind.itemsize for x in encoded], np.int64))
+            sizes.append(np.diff(places))
         if writer is None:
             return
         writer.close()
