@@ -2,8 +2,8 @@
 
 Documents are sorted by id over the whole corpus; each task encodes its range with the tokenizers library and packs
 the ids, each document followed by the end id, into sequences of SEQUENCE ids. A file (Arrow IPC) has batches of
-fixed-size lists: `ids`, and `mask` (how many ids of the sequence count; the rest is padding in a file's last
-sequence). Ids take 16 bits where the vocabulary allows it. Any sequence can be read in place from a memory map.
+fixed-size lists: `ids`, and `mask` of the same length (true where an id counts; only a file's last sequence has
+padding). Ids take 16 bits where the vocabulary allows it. Any sequence can be read in place from a memory map.
 Beside it lies an index file with each document's id, place in the file and number of ids; `read` follows it.
 
 Tasks write to names of their own and rename when complete, so an attempt that dies leaves nothing under the final
@@ -128,7 +128,7 @@ class SequenceWriter:
     def __init__(self, sink, kind: np.dtype, length: int):
         self.kind, self.length = kind, length
         item = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.int32())])
+        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.file = pa.ipc.new_file(sink, self.schema)
         self.held: list[bytes] = []
         self.size = 0
@@ -144,17 +144,19 @@ class SequenceWriter:
         values = np.frombuffer(b"".join(self.held), self.kind)
         whole = len(values) // self.length
         rest = values[whole * self.length :]
-        masks = np.full(whole, self.length, np.int32)
+        counted = np.full(whole, self.length, np.int32)
         self.held, self.size = [rest.tobytes()], rest.nbytes
         values = values[: whole * self.length]
         if last and len(rest):
             values = np.concatenate([values, rest, np.zeros(self.length - len(rest), self.kind)])
-            masks = np.append(masks, np.int32(len(rest)))
-        for at in range(0, len(masks), BATCH_SEQUENCES):
-            own = masks[at : at + BATCH_SEQUENCES]
+            counted = np.append(counted, np.int32(len(rest)))
+        for at in range(0, len(counted), BATCH_SEQUENCES):
+            own = counted[at : at + BATCH_SEQUENCES]
             flat = values[at * self.length : (at + len(own)) * self.length]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length)
-            self.file.write_batch(pa.record_batch([lists, pa.array(own)], schema=self.schema))
+            true = pa.array((np.arange(self.length) < own[:, None]).ravel())
+            masks = pa.FixedSizeListArray.from_arrays(true, self.length)
+            self.file.write_batch(pa.record_batch([lists, masks], schema=self.schema))
             self.total += int(own.sum())
 
     def close(self) -> None:
@@ -225,7 +227,7 @@ def _documents(file: pa.ipc.RecordBatchFileReader, index: pa.Table) -> Iterator[
     for k in range(file.num_record_batches):
         batch = file.get_batch(k)
         values = batch.column("ids").flatten().to_numpy(zero_copy_only=True)
-        values = values[: int(np.sum(batch.column("mask").to_numpy()))]
+        values = values[: batch.column("mask").flatten().true_count]
         start = 0
         while row < len(ends) and ends[row] <= at + len(values):
             stop = ends[row] - at
