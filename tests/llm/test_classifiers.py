@@ -97,7 +97,7 @@ def test_grams_are_those_of_each_text():
     for k, text in enumerate(texts):
         alone, own = toxicity.grams(pa.array([text]))
         assert sorted(feature[owner == k]) == sorted(own)
-        raw = b" " + text.lower().encode() + b" "
+        raw = f" {text.lower()} "  # n-grams of characters, not of bytes
         distinct = {raw[i : i + n] for n in toxicity.ORDERS for i in range(len(raw) - n + 1)}
         assert len(own) == len(distinct)
 
