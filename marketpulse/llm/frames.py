@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +17,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Bytes of text that a task works on at a time. A longer text is worked on alone.
 SLICE_BYTES = 2 << 20
 
+#: A key that has more than one in so many of all rows is joined by broadcast; there are fewer of them than this.
+HOT_SHARE = 4096
+
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where executors see the same code folder.
@@ -53,6 +56,18 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: Sequence[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose column `count` (left out) has the key's number of rows.
+
+    `total` is the number of rows or more. Hot keys are fewer than HOT_SHARE, so that their rows are joined where they
+    are; of any other key a task gets at most total / HOT_SHARE rows.
+    """
+    hot = F.broadcast(table.where(F.col(count) * HOT_SHARE > total).drop(count))
+    often = rows.join(hot, on)
+    seldom = rows.join(hot.select(*on), on, "left_anti").join(table.drop(count), on)
+    return often.union(seldom)
+
+
 def texts(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
     """The named columns under fixed names, whatever other columns the frame has; a null text is empty."""
     ship(frame.sparkSession)

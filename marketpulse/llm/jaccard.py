@@ -8,8 +8,10 @@ Shingles have `width` words. op8's values, WORDS and LEAST, are the defaults; fi
 2. Shingles are put in one order for the whole corpus: by how often their hash bucket occurs in all documents, rare
    ones first. Two sets that link share one of their first n - ceil(0.9 n) + 1 shingles. Sets that share one, and
    whose sizes allow a link, are a group. Pairs of a group of at most GROUP sets are dropped if the parities of their
-   hashes (n / 2 bits or more) differ in more places than linked sets can; a larger group stays together. What is
-   connected then is a cluster, and no possible link crosses clusters.
+   hashes (n / 2 bits or more) differ in more places than linked sets can; a larger group stays together. The sets of a
+   shingle whose bucket is hot never meet in a task: each is put with a name that stands for the shingle and a band of
+   sizes, its own and the next one, so that sets whose sizes allow a link share a name. What is connected then is a
+   cluster, and no possible link crosses clusters.
 3. A cluster's sets meet in one task if they hold at most TILE_SHINGLES together. Larger ones are cut into bands of
    size, which only neighbours can link across, and large bands into parts; a task gets one pair of parts.
 4. A task builds a signature tree of its sets: leaves in order of size, nodes with the OR of their token bitmaps, the
@@ -20,6 +22,7 @@ Shingles have `width` words. op8's values, WORDS and LEAST, are the defaults; fi
 5. Links of all tasks are joined into components.
 
 Texts are shuffled once, to meet the clusters they are in; memory of a task follows two tiles or the longest text.
+Classes, clusters and bands that hold a large part of all rows are joined by broadcast (`frames.join_counted`).
 
 Nulls: a null text has no words; a row without an id has no component and links with nothing. Rows that share an id
 are one document: it has the links of all of them. Documents without words are linked with nothing, not with each
@@ -52,6 +55,11 @@ SMALLEST = smallest(LEAST)
 #: Counters of shingles: a fixed number, so that they can be broadcast.
 BUCKET_BITS = 22
 PACK = 64
+#: A bucket is hot if more documents than this have it, and more than HOT_TIMES the mean of all buckets.
+HOT_DOCUMENTS = 1 << 16
+HOT_TIMES = 8
+#: Names of sets that a task remembers, so that copies are posted once.
+SEEN = 1 << 18
 TILE_SHINGLES = 2 << 20
 FAN = 8
 GROUP = 32
@@ -125,8 +133,8 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(columns, ["row", *_PACKED])
 
 
-def bucket_levels(text: DataFrame, width: int = WORDS) -> np.ndarray:
-    """For each bucket its place among all buckets in the order of their counts, in 256 steps."""
+def bucket_levels(text: DataFrame, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket its place among all buckets in the order of their counts, in 256 steps; and the hot buckets."""
     schema = ", ".join(f"{name} long" for name in ["row", *_PACKED])
     sums = [F.sum(name).alias(name) for name in _PACKED]
     counted = text.mapInArrow(lambda batches: _bucket_counts(batches, width), schema).groupBy("row").agg(*sums).toPandas()
@@ -134,7 +142,13 @@ def bucket_levels(text: DataFrame, width: int = WORDS) -> np.ndarray:
     counts[counted["row"].to_numpy(np.int64)] = counted[_PACKED].to_numpy(np.int64)
     place = np.empty(counts.size, np.int64)
     place[np.argsort(counts.ravel(), kind="stable")] = np.arange(counts.size)
-    return (place * 256 // counts.size).astype(np.uint8)
+    hot = np.flatnonzero(counts > max(HOT_DOCUMENTS, HOT_TIMES * int(counts.sum()) // counts.size))
+    return (place * 256 // counts.size).astype(np.uint8), hot
+
+
+def _bands(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of size: sets that link are in one or in neighbours."""
+    return np.floor(np.log(n) / np.log(100 / percent)).astype(np.uint64)
 
 
 def prefix_size(n: int, percent: int = LEAST) -> int:
@@ -142,31 +156,46 @@ def prefix_size(n: int, percent: int = LEAST) -> int:
 
 
 def _postings(
-    levels: np.ndarray, batches: Iterator[pa.RecordBatch], width: int, percent: int
+    levels: np.ndarray, hot: np.ndarray, batches: Iterator[pa.RecordBatch], width: int, percent: int
 ) -> Iterator[pa.RecordBatch]:
-    """The first shingles of each set, in the order of the corpus; a set of several texts of a batch once."""
+    """The first shingles of each set, in the order of the corpus; a set of several texts of a task once.
+
+    A hot shingle gives two rows of size 0 instead, whose token is a name for the shingle and a band of sizes.
+    """
+    often = np.zeros(1 << BUCKET_BITS, bool)
+    often[hot] = True
+    seen: set[int] = set()
     for batch in frames.slices(batches):
         values, bounds = shingle_sets(batch.column("text"), width)
         one, _ = set_names(values, bounds)
-        level, tokens, owners = levels[_bucket(values)], [np.zeros(0, np.uint64)], []
+        bucket, tokens, owners = _bucket(values), [np.zeros(0, np.uint64)], []
+        level = levels[bucket]
         _, unique = np.unique(one, return_index=True)
         for k in unique.tolist():
             a, b = int(bounds[k]), int(bounds[k + 1])
-            if b - a >= smallest(percent):
+            if b - a >= smallest(percent) and int(one[k]) not in seen:
+                seen.add(int(one[k]))
                 first = np.argsort(level[a:b], kind="stable")[: prefix_size(b - a, percent)]  # ties by hash
                 tokens.append(values[a + first])
                 owners += [k] * len(first)
-        at = np.array(owners, np.int64)
-        token = np.concatenate(tokens).view(np.int64)
+        if len(seen) > SEEN:
+            seen.clear()
+        at, token = np.array(owners, np.int64), np.concatenate(tokens)
         size = np.diff(bounds)[at].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(one[at]), pa.array(size)], ["token", "one", "n"])
+        hub = often[_bucket(token)]
+        band = _bands(size[hub], percent)
+        names = [words.mix(token[hub] ^ words.mix(band + np.uint64(k))) for k in (1, 2)]
+        token = np.concatenate([token[~hub], *names]).view(np.int64)
+        own = np.concatenate([one[at[~hub]], *[one[at[hub]]] * 2])
+        size = np.concatenate([size[~hub], np.zeros(2 * len(band), np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(own), pa.array(size)], ["token", "one", "n"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], percent: int = LEAST) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of token and size; sets that follow each other and whose sizes allow a link are a group.
 
     A group of at most GROUP sets gives all pairs whose sizes allow a link; a larger one links each set with its
-    first, for sure, as its pairs would be too many.
+    first, for sure, as its pairs would be too many. Rows of size 0 are such links themselves.
     """
     held, large = None, False  # the rows of the last group so far; of a large one, the first
 
@@ -211,6 +240,13 @@ def _groups(batches: Iterator[pa.RecordBatch], percent: int = LEAST) -> Iterator
     for batch in batches:
         if batch.num_rows:
             rows = [batch.column(c).to_numpy().astype(np.int64) for c in ("token", "one", "n")]
+            hub = rows[2] == 0
+            if hub.any():
+                sure = pa.array(np.ones(int(hub.sum()), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0][hub]), pa.array(rows[1][hub]), sure], ["a", "b", "sure"])
+                rows = [x[~hub] for x in rows]
+                if not len(rows[0]):
+                    continue
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
                 # the size of a large group's first row must not end it
@@ -403,8 +439,9 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """Rows (rep, one, two, tiles) of sets in clusters; sets that can link have a tile in common."""
+    count = members.count()
     totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
-    members = members.join(totals.where(F.col("sets") > 1), "cluster")
+    members = frames.join_counted(members, totals.where(F.col("sets") > 1), ["cluster"], "sets", count)
     small = F.col("total") <= TILE_SHINGLES
     whole = members.where(small).select("rep", "one", "two", F.array(F.xxhash64("cluster")).alias("tiles"))
 
@@ -413,7 +450,7 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     large = members.where(~small).withColumn("band", F.explode(F.array(band, band + 1)))
     parts = F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)).cast("int")
     bands = large.groupBy("cluster", "band").agg(parts.alias("parts"), F.count("*").alias("held"))
-    large = large.join(bands.where(F.col("held") > 1), ["cluster", "band"])
+    large = frames.join_counted(large, bands.where(F.col("held") > 1), ["cluster", "band"], "held", 2 * count)
     large = large.withColumn("own", F.pmod(F.xxhash64("one", "two"), F.col("parts")).cast("int"))
 
     def tile(k: Column) -> Column:
@@ -442,16 +479,18 @@ def links(rows: DataFrame, described: DataFrame, width: int = WORDS, percent: in
     """Links (a, b) between smallest ids of classes, enough to connect every two sets that links connect."""
     spark = rows.sparkSession
     text = rows.select("text")
-    levels = spark.sparkContext.broadcast(bucket_levels(text, width))  # 2**BUCKET_BITS bytes
+    # 2**BUCKET_BITS bytes, and at most 2**BUCKET_BITS / HOT_TIMES numbers
+    levels = spark.sparkContext.broadcast(bucket_levels(text, width))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _postings(levels.value, batches, width, percent)
+        yield from _postings(*levels.value, batches, width, percent)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _groups(batches, percent)
 
     posted = text.mapInArrow(postings, "token long, one long, n int")
-    grouped = posted.repartition("token").sortWithinPartitions("token", "n", "one")
+    place = F.when(F.col("n") == 0, F.col("one")).otherwise(F.col("token"))
+    grouped = posted.repartition(place).sortWithinPartitions("token", "n", "one")
     near = frames.checkpointed(grouped.mapInArrow(groups, "a long, b long, sure boolean").distinct())
     pairs = near.where(~F.col("sure")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = near.where("sure").select("a", "b").union(_may_link(pairs, described, percent))
@@ -483,15 +522,17 @@ def join(
     described = frames.checkpointed(described)
     named = described.where(F.col("doc_id").isNotNull())
     filled = named.where(F.col("n_shingles") > 0)
-    classes = filled.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
-    own = filled.join(classes, ["one", "two"]).select("doc_id", "one", "two", "rep")
+    total = filled.count()
+    classes = filled.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
+    own = frames.join_counted(filled, classes, ["one", "two"], "held", total).select("doc_id", "rep")
     # an id of several rows connects the classes that they are in
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where(F.col("a") < F.col("z"))
     shared = own.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     labels = components(links(rows.where(F.col("doc_id").isNotNull()), named, width, percent).union(shared))
     classes = classes.join(labels, classes["rep"] == labels["node"], "left")
-    classes = classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"))
-    out = filled.join(classes, ["one", "two"]).select("doc_id", "n_shingles", "component_id")
+    classes = classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"), "held")
+    out = frames.join_counted(filled, classes, ["one", "two"], "held", total)
+    out = out.select("doc_id", "n_shingles", "component_id")
     empty = named.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     nameless = described.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long"))
     return out.union(empty).union(nameless)
@@ -502,12 +543,13 @@ def one_of_each(
 ) -> DataFrame:
     """One document of each group, the one with the smallest id; rows without an id stay.
 
-    Of several rows with that id the smallest by all columns, the text first, stays.
+    Of several rows with that id each different text stays once, with the smallest other columns.
     """
     found = join(docs, id_col, text_col, width, percent)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     own = docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
     columns = [text_col, *(c for c in docs.columns if c != text_col)]
-    least = own.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(*columns)).alias("_row"))
+    names = F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")
+    least = own.groupBy(*names).agg(F.min(F.struct(*columns)).alias("_row"))
     least = least.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
     return least.union(docs.where(F.col(id_col).isNull()))

@@ -5,8 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import SPACE_WORD, by_id_and_text, lower, no_documents, odd_documents, ordered
+from pyspark.sql import functions as F
 
-from marketpulse.llm import jaccard
+from marketpulse.llm import frames, jaccard
 from marketpulse.llm.components import components
 
 
@@ -76,6 +77,50 @@ def test_equals_brute_force(spark, monkeypatch, tile):
     assert ordered(got.collect()) == brute_force(rows)
 
 
+@pytest.mark.parametrize("share", [1, 8, 1 << 40])  # no key is hot, some are, all are
+@pytest.mark.parametrize("documents", [0, 20])  # every shingle is hot, or the common ones
+def test_hot_keys(spark, monkeypatch, share, documents):
+    monkeypatch.setattr(frames, "HOT_SHARE", share)
+    monkeypatch.setattr(jaccard, "HOT_DOCUMENTS", documents)
+    monkeypatch.setattr(jaccard, "HOT_TIMES", 0)
+    rows = near_copies(families=12)
+    rows += [(10_000 + k, rows[3][1]) for k in range(len(rows))]  # half of all documents are one class
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ordered(got) == brute_force(rows)
+
+
+def test_rows_of_a_hot_key_are_not_shuffled(spark, monkeypatch):
+    rows = spark.range(9000).select((F.col("id") % 3 * 0).alias("k"), "id").union(spark.range(100, 200).selectExpr("id", "id"))
+    table = rows.groupBy("k").agg(F.max("id").alias("most"), F.count("*").alias("rows"))
+    monkeypatch.setattr(frames, "HOT_SHARE", 8)
+    found = frames.join_counted(rows, table, ["k"], "rows", 9100)
+    assert found.columns == ["k", "id", "most"]
+    assert found.where("k = 0").count() == 9000 and found.where("k > 0 and most = k").count() == 100
+
+
+def test_copies_of_a_task_are_posted_once():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(f"w{k}" for k in range(30))] * 5, pa.large_string())})
+    levels, none = np.zeros(1 << jaccard.BUCKET_BITS, np.uint8), np.zeros(0, np.int64)
+    found = [b.num_rows for b in jaccard._postings(levels, none, iter([batch, batch]), 3, 90)]
+    assert found == [jaccard.prefix_size(28), 0]
+    hot = np.arange(1 << jaccard.BUCKET_BITS)
+    names = [r for b in jaccard._postings(levels, hot, iter([batch]), 3, 90) for r in b.to_pylist()]
+    assert len(names) == 2 * jaccard.prefix_size(28) and {r["n"] for r in names} == {0}
+
+
+def test_linked_sizes_are_in_neighbouring_bands():
+    for percent in (80, 90):
+        n = np.arange(9, 5000)
+        least = -(-percent * n // 100)
+        step = jaccard._bands(n, percent) - jaccard._bands(least, percent)
+        assert step.max() <= 1
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert ordered(jaccard.join(docs).collect()) == brute_force(by_id_and_text(docs))
@@ -94,6 +139,12 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "8", "None", "None"]
 
 
+def test_different_texts_of_an_id_stay(spark):
+    rows = [(1, "one text of its own", "b"), (1, "another text", "x"), (1, "one text of its own", "a"), (2, "Another Text", "y")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert ordered(kept.collect()) == ordered([rows[1], rows[2]])
+
+
 def test_tree_passes_every_link():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
