@@ -60,6 +60,7 @@ HOT_DOCUMENTS = 1 << 16
 HOT_TIMES = 8
 #: Names of sets that a task remembers, so that copies are posted once.
 SEEN = 1 << 18
+SALTS = 16
 TILE_SHINGLES = 2 << 20
 FAN = 8
 GROUP = 32
@@ -137,13 +138,17 @@ def bucket_levels(text: DataFrame, width: int = WORDS) -> tuple[np.ndarray, np.n
     """For each bucket its place among all buckets in the order of their counts, in 256 steps; and the hot buckets."""
     schema = ", ".join(f"{name} long" for name in ["row", *_PACKED])
     sums = [F.sum(name).alias(name) for name in _PACKED]
-    counted = text.mapInArrow(lambda batches: _bucket_counts(batches, width), schema).groupBy("row").agg(*sums).toPandas()
+    counted = text.mapInArrow(lambda batches: _bucket_counts(batches, width), schema).groupBy("row").agg(*sums).toArrow()
     counts = np.zeros(((1 << BUCKET_BITS) // PACK, PACK), np.int64)
-    counts[counted["row"].to_numpy(np.int64)] = counted[_PACKED].to_numpy(np.int64)
-    place = np.empty(counts.size, np.int64)
-    place[np.argsort(counts.ravel(), kind="stable")] = np.arange(counts.size)
+    row = counted.column("row").to_numpy()
+    for k, name in enumerate(_PACKED):
+        counts[row, k] = counted.column(name).to_numpy()
+    del counted
+    counts = counts.ravel()
     hot = np.flatnonzero(counts > max(HOT_DOCUMENTS, HOT_TIMES * int(counts.sum()) // counts.size))
-    return (place * 256 // counts.size).astype(np.uint8), hot
+    levels = np.empty(counts.size, np.uint8)
+    levels[np.argsort(counts, kind="stable")] = np.repeat(np.arange(256, dtype=np.uint8), counts.size // 256)
+    return levels, hot
 
 
 def _bands(n: np.ndarray, percent: int) -> np.ndarray:
@@ -450,7 +455,11 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     large = members.where(~small).withColumn("band", F.explode(F.array(band, band + 1)))
     parts = F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)).cast("int")
     bands = large.groupBy("cluster", "band").agg(parts.alias("parts"), F.count("*").alias("held"))
-    large = frames.join_counted(large, bands.where(F.col("held") > 1), ["cluster", "band"], "held", 2 * count)
+    # a band may hold most sets: they are dealt by a salt, and the bands, few beside them, are repeated for each
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    bands = bands.where(F.col("held") > 1).select("cluster", "band", "parts", salts)
+    large = large.withColumn("salt", F.pmod(F.xxhash64("two"), F.lit(SALTS)).cast("int"))
+    large = large.join(bands, ["cluster", "band", "salt"]).drop("salt")
     large = large.withColumn("own", F.pmod(F.xxhash64("one", "two"), F.col("parts")).cast("int"))
 
     def tile(k: Column) -> Column:
@@ -524,10 +533,11 @@ def join(
     filled = named.where(F.col("n_shingles") > 0)
     total = filled.count()
     classes = filled.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
-    own = frames.join_counted(filled, classes, ["one", "two"], "held", total).select("doc_id", "rep")
-    # an id of several rows connects the classes that they are in
-    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where(F.col("a") < F.col("z"))
-    shared = own.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
+    # an id of several rows connects the classes that they are in, each of which has a smallest id of its own
+    ends = [f(c).alias(f"{c}_{k}") for c in ("one", "two") for k, f in enumerate((F.min, F.max))]
+    several = filled.groupBy("doc_id").agg(*ends).where((F.col("one_0") < F.col("one_1")) | (F.col("two_0") < F.col("two_1")))
+    own = filled.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "one", "two").distinct()
+    shared = own.join(classes, ["one", "two"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links(rows.where(F.col("doc_id").isNotNull()), named, width, percent).union(shared))
     classes = classes.join(labels, classes["rep"] == labels["node"], "left")
     classes = classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"), "held")
