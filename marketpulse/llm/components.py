@@ -1,8 +1,8 @@
 """Connected components of a table of edges, by alternating large and small stars.
 
 Each round replaces edges by edges to the smallest neighbour; a node's neighbours are never gathered, only their
-minimum is, which is made before the shuffle in part. A node that has a large part of all edges is joined by
-broadcast. Rounds are checkpointed and end when the edges stay the same.
+minimum is, which is made before the shuffle in part. Where the edges are more than a task
+joins easily, a node that has a large part of them is joined by broadcast. Rounds are checkpointed and end when the edges stay the same.
 
 Nulls: an edge with a null end is none. Repeated edges and edges from a node to itself change nothing. An empty table
 gives no rows.
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketpulse.llm import frames
 from marketpulse.llm.frames import checkpointed, join_counted
 
 
@@ -25,13 +26,13 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("rows"))
     least = least.select("a", F.least("a", "m").alias("m"), "rows")
-    return join_counted(edges, least, ["a"], "rows", total).select(F.col("m").alias("a"), "b")
+    return join_counted(edges, least, ["a"], "rows", total, frames.EASY_ROWS).select(F.col("m").alias("a"), "b")
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Edges have a < b; the smaller neighbours of b are linked to the smallest of them."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("rows"))
-    rest = join_counted(edges, least, ["b"], "rows", total).where(F.col("a") != F.col("m"))
+    rest = join_counted(edges, least, ["b"], "rows", total, frames.EASY_ROWS).where(F.col("a") != F.col("m"))
     rest = rest.select(F.col("m").alias("a"), F.col("a").alias("b"))
     return rest.union(least.select(F.col("m").alias("a"), "b"))
 

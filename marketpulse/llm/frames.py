@@ -20,6 +20,9 @@ SLICE_BYTES = 2 << 20
 #: A key that has more than one in so many of all rows is joined by broadcast; there are fewer of them than this.
 HOT_SHARE = 4096
 
+#: Narrow rows of one key that a task joins easily.
+EASY_ROWS = 1 << 22
+
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where executors see the same code folder.
@@ -56,12 +59,17 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def join_counted(rows: DataFrame, table: DataFrame, on: Sequence[str], count: str, total: int) -> DataFrame:
+def join_counted(
+    rows: DataFrame, table: DataFrame, on: Sequence[str], count: str, total: int, easy: int = 0
+) -> DataFrame:
     """Inner join of rows with a table of one row a key, whose column `count` (left out) has the key's number of rows.
 
     `total` is the number of rows or more. Hot keys are fewer than HOT_SHARE, so that their rows are joined where they
-    are; of any other key a task gets at most total / HOT_SHARE rows.
+    are; of any other key a task gets at most total / HOT_SHARE rows. If all rows are at most `easy`, no key has more,
+    and the join is left plain.
     """
+    if total <= easy:
+        return rows.join(table.drop(count), on)
     hot = F.broadcast(table.where(F.col(count) * HOT_SHARE > total).drop(count))
     often = rows.join(hot, on)
     seldom = rows.join(hot.select(*on), on, "left_anti").join(table.drop(count), on)

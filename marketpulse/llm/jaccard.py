@@ -22,7 +22,8 @@ Shingles have `width` words. op8's values, WORDS and LEAST, are the defaults; fi
 5. Links of all tasks are joined into components.
 
 Texts are shuffled once, to meet the clusters they are in; memory of a task follows two tiles or the longest text.
-Classes, clusters and bands that hold a large part of all rows are joined by broadcast (`frames.join_counted`).
+Classes that hold a large part of all rows are joined by broadcast (`frames.join_counted`), clusters and nodes of
+links too where there are more than `frames.EASY_ROWS`; bands are met by a salt.
 
 Nulls: a null text has no words; a row without an id has no component and links with nothing. Rows that share an id
 are one document: it has the links of all of them. Documents without words are linked with nothing, not with each
@@ -446,7 +447,7 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """Rows (rep, one, two, tiles) of sets in clusters; sets that can link have a tile in common."""
     count = members.count()
     totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
-    members = frames.join_counted(members, totals.where(F.col("sets") > 1), ["cluster"], "sets", count)
+    members = frames.join_counted(members, totals.where(F.col("sets") > 1), ["cluster"], "sets", count, frames.EASY_ROWS)
     small = F.col("total") <= TILE_SHINGLES
     whole = members.where(small).select("rep", "one", "two", F.array(F.xxhash64("cluster")).alias("tiles"))
 

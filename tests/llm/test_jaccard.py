@@ -81,6 +81,7 @@ def test_equals_brute_force(spark, monkeypatch, tile):
 @pytest.mark.parametrize("documents", [0, 20])  # every shingle is hot, or the common ones
 def test_hot_keys(spark, monkeypatch, share, documents):
     monkeypatch.setattr(frames, "HOT_SHARE", share)
+    monkeypatch.setattr(frames, "EASY_ROWS", 0)
     monkeypatch.setattr(jaccard, "HOT_DOCUMENTS", documents)
     monkeypatch.setattr(jaccard, "HOT_TIMES", 0)
     rows = near_copies(families=12)
