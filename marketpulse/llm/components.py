@@ -2,7 +2,8 @@
 
 Each round replaces edges by edges to the smallest neighbour; a node's neighbours are never gathered, only their
 minimum is, which is made before the shuffle in part. Where the edges are more than a task
-joins easily, a node that has a large part of them is joined by broadcast. Rounds are checkpointed and end when the edges stay the same.
+joins easily, a node that has a large part of them is joined by broadcast. Rounds are checkpointed and end when all
+components are stars around their smallest nodes, which a round would leave as they are.
 
 Nulls: an edge with a null end is none. Repeated edges and edges from a node to itself change nothing. An empty table
 gives no rows.
@@ -17,9 +18,13 @@ from marketpulse.llm import frames
 from marketpulse.llm.frames import checkpointed, join_counted
 
 
-def _digest(edges: DataFrame) -> tuple:
-    sums = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(sums)
+def _shape(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges, and of nodes that have two smaller neighbours, or a smaller and a larger one."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(1).alias("up")))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("rows"))
+    between = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("rows") > F.col("up")))
+    total, left = nodes.agg(F.sum("up"), F.count_if(between)).first()
+    return total or 0, left
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -41,13 +46,10 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node it is connected with) of every node of the edges (a, b)."""
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     edges = checkpointed(edges.select(a, b).where(F.col("a") < F.col("b")).distinct())
-    before = _digest(edges)
-    while before[0]:
-        large = _large_star(edges, before[0]).distinct()  # at most as many edges as before
-        edges = checkpointed(_small_star(large, before[0]).distinct())
-        after = _digest(edges)
-        if after == before:
-            break
-        before = after
+    total, left = _shape(edges)
+    while left:
+        large = _large_star(edges, total).distinct()  # at most as many edges as before
+        edges = checkpointed(_small_star(large, total).distinct())
+        total, left = _shape(edges)
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(roots)

@@ -135,21 +135,57 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(columns, ["row", *_PACKED])
 
 
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """Counts as numbers of 16 bits in the same order: exact below 4,096, to one in 2,048 above."""
+    shift = np.maximum(np.frexp(counts.astype(np.float64))[1] - 12, 0)
+    return np.minimum((shift << 11) + (counts >> shift), (1 << 16) - 1).astype("<u2")
+
+
+def _greatest(codes: np.ndarray) -> np.ndarray:
+    """The greatest count of each code."""
+    codes = codes.astype(np.int64)
+    shift = np.maximum((codes >> 11) - 1, 0)
+    return ((codes - (shift << 11) + 1) << shift) - 1
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = np.stack([batch.column(name).to_numpy() for name in _PACKED], axis=1)
+        codes = [c.tobytes() for c in _codes(counts)]
+        columns = [batch.column("row"), pa.array(counts.sum(axis=1)), pa.array(codes, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "total", "codes"])
+
+
 def bucket_levels(text: DataFrame, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """For each bucket its place among all buckets in the order of their counts, in 256 steps; and the hot buckets."""
+    """For each bucket its place among all that occur in the order of their counts, in 256 steps; and the hot buckets.
+
+    Counters are summed and cut to 16 bits by tasks: the driver gets 2 bytes of each. Equal counts have one place.
+    """
     schema = ", ".join(f"{name} long" for name in ["row", *_PACKED])
     sums = [F.sum(name).alias(name) for name in _PACKED]
-    counted = text.mapInArrow(lambda batches: _bucket_counts(batches, width), schema).groupBy("row").agg(*sums).toArrow()
-    counts = np.zeros(((1 << BUCKET_BITS) // PACK, PACK), np.int64)
-    row = counted.column("row").to_numpy()
-    for k, name in enumerate(_PACKED):
-        counts[row, k] = counted.column(name).to_numpy()
+    counted = text.mapInArrow(lambda batches: _bucket_counts(batches, width), schema).groupBy("row").agg(*sums)
+    counted = counted.mapInArrow(_coded, "row long, total long, codes binary").toArrow()
+    codes = np.zeros(((1 << BUCKET_BITS) // PACK, PACK), "<u2")
+    total = 0
+    for batch in counted.to_batches():
+        if batch.num_rows:
+            found = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<u2")
+            codes[batch.column("row").to_numpy()] = found.reshape(-1, PACK)
+            total += int(batch.column("total").to_numpy().sum())
     del counted
-    counts = counts.ravel()
-    hot = np.flatnonzero(counts > max(HOT_DOCUMENTS, HOT_TIMES * int(counts.sum()) // counts.size))
-    levels = np.empty(counts.size, np.uint8)
-    levels[np.argsort(counts, kind="stable")] = np.repeat(np.arange(256, dtype=np.uint8), counts.size // 256)
-    return levels, hot
+    codes = codes.ravel()
+    held = np.zeros(1 << 16, np.int64)
+    for row in codes.reshape(64, -1):
+        held += np.bincount(row, minlength=1 << 16)
+    held[0] = 0
+    place = (np.cumsum(held) - held) * 256 // max(1, int(held.sum()))
+    often = _greatest(np.arange(1 << 16)) > max(HOT_DOCUMENTS, HOT_TIMES * total // codes.size)
+    levels, hot = np.empty(codes.size, np.uint8), [np.zeros(0, np.int64)]
+    for k in range(0, codes.size, 1 << 16):  # numpy makes 8 bytes of an index
+        part = codes[k : k + (1 << 16)]
+        levels[k : k + (1 << 16)] = place[part]
+        hot.append(k + np.flatnonzero(often[part]))
+    return levels, np.concatenate(hot)
 
 
 def _bands(n: np.ndarray, percent: int) -> np.ndarray:
@@ -283,12 +319,10 @@ def _folded(bits: Column, other: Column) -> Column:
     return F.when(F.size(bits) > half, both).otherwise(bits)
 
 
-def _may_link(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that can link: sets that differ in parity differ in a hash, and linked sets in few."""
-    kept = described.where(F.col("n_shingles") >= smallest(percent)).groupBy("one")
-    kept = kept.agg(F.first("n_shingles").alias("n"), F.first("parity").alias("bits"))
     for side in ("a", "b"):
-        own = kept.select(F.col("one").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        own = classes.select(F.col("one").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
         pairs = pairs.join(own, side)
     x, y = F.col("bits_a"), F.col("bits_b")
     differ = F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
@@ -445,11 +479,14 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """Rows (rep, one, two, tiles) of sets in clusters; sets that can link have a tile in common."""
-    count = members.count()
     totals = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
-    members = frames.join_counted(members, totals.where(F.col("sets") > 1), ["cluster"], "sets", count, frames.EASY_ROWS)
+    count, most = totals.agg(F.sum("sets"), F.max("total")).first()
+    totals = totals.where(F.col("sets") > 1)
+    members = frames.join_counted(members, totals, ["cluster"], "sets", count or 0, frames.EASY_ROWS)
     small = F.col("total") <= TILE_SHINGLES
     whole = members.where(small).select("rep", "one", "two", F.array(F.xxhash64("cluster")).alias("tiles"))
+    if (most or 0) <= TILE_SHINGLES:
+        return whole
 
     # Sets of a band meet those of the same and of the next lower one; a band of many parts, part by part.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
@@ -485,8 +522,9 @@ def _clustered_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
         yield out.filter(pa.array(same))
 
 
-def links(rows: DataFrame, described: DataFrame, width: int = WORDS, percent: int = LEAST) -> DataFrame:
+def links(rows: DataFrame, classes: DataFrame, width: int = WORDS, percent: int = LEAST) -> DataFrame:
     """Links (a, b) between smallest ids of classes, enough to connect every two sets that links connect."""
+    classes = classes.where(F.col("n") >= smallest(percent))
     spark = rows.sparkSession
     text = rows.select("text")
     # 2**BUCKET_BITS bytes, and at most 2**BUCKET_BITS / HOT_TIMES numbers
@@ -503,11 +541,10 @@ def links(rows: DataFrame, described: DataFrame, width: int = WORDS, percent: in
     grouped = posted.repartition(place).sortWithinPartitions("token", "n", "one")
     near = frames.checkpointed(grouped.mapInArrow(groups, "a long, b long, sure boolean").distinct())
     pairs = near.where(~F.col("sure")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = near.where("sure").select("a", "b").union(_may_link(pairs, described, percent))
+    near = near.where("sure").select("a", "b").union(_may_link(pairs, classes, percent))
     clusters = components(near).select(F.col("node").alias("one"), F.col("label").alias("cluster"))
 
-    classes = described.where(F.col("n_shingles") >= smallest(percent)).groupBy("one", "two", F.col("n_shingles").alias("n"))
-    members = classes.agg(F.min("doc_id").alias("rep")).join(clusters, "one")
+    members = classes.select("one", "two", "n", "rep").join(clusters, "one")
     tiles = _tiles(frames.checkpointed(members), percent)
     sets = rows.join(tiles, rows["doc_id"] == tiles["rep"]).select("rep", "one", "two", "tiles", "text")
     sets = sets.mapInArrow(
@@ -532,17 +569,25 @@ def join(
     described = frames.checkpointed(described)
     named = described.where(F.col("doc_id").isNotNull())
     filled = named.where(F.col("n_shingles") > 0)
-    total = filled.count()
-    classes = filled.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
+    classes = filled.groupBy("one", "two").agg(
+        F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("held"), F.first("parity").alias("bits")
+    )
+    classes = frames.checkpointed(classes)
     # an id of several rows connects the classes that they are in, each of which has a smallest id of its own
     ends = [f(c).alias(f"{c}_{k}") for c in ("one", "two") for k, f in enumerate((F.min, F.max))]
-    several = filled.groupBy("doc_id").agg(*ends).where((F.col("one_0") < F.col("one_1")) | (F.col("two_0") < F.col("two_1")))
-    own = filled.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "one", "two").distinct()
-    shared = own.join(classes, ["one", "two"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links(rows.where(F.col("doc_id").isNotNull()), named, width, percent).union(shared))
+    ids = filled.groupBy("doc_id").agg(F.count("*").alias("rows"), *ends)
+    several = (F.col("one_0") < F.col("one_1")) | (F.col("two_0") < F.col("two_1"))
+    total, repeated = ids.agg(F.sum("rows"), F.count_if(several)).first()
+    linked = links(rows.where(F.col("doc_id").isNotNull()), classes, width, percent)
+    if repeated:
+        own = filled.join(ids.where(several).select("doc_id"), "doc_id", "left_semi").select("doc_id", "one", "two").distinct()
+        shared = own.join(classes, ["one", "two"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        linked = linked.union(shared)
+    labels = components(linked)
     classes = classes.join(labels, classes["rep"] == labels["node"], "left")
-    classes = classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"), "held")
-    out = frames.join_counted(filled, classes, ["one", "two"], "held", total)
+    # read three times below
+    classes = frames.checkpointed(classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"), "held"))
+    out = frames.join_counted(filled, classes, ["one", "two"], "held", total or 0)
     out = out.select("doc_id", "n_shingles", "component_id")
     empty = named.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     nameless = described.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long"))

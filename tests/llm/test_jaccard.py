@@ -7,6 +7,7 @@ import pytest
 from cases import SPACE_WORD, by_id_and_text, lower, no_documents, odd_documents, ordered
 from pyspark.sql import functions as F
 
+from marketpulse.llm import components as stars
 from marketpulse.llm import frames, jaccard
 from marketpulse.llm.components import components
 
@@ -200,3 +201,40 @@ def test_groups_hold_every_pair_that_may_link(monkeypatch, step):
             if token == other and k != j and 100 * min(n, m) >= 90 * max(n, m):
                 assert union.find(k) == union.find(j)
     assert any(r["sure"] for r in found) and pairs
+
+
+def test_codes_of_counts_keep_their_order():
+    rng = np.random.default_rng(1)
+    counts = np.unique(np.concatenate([np.arange(10_000), rng.integers(0, 1 << 40, 10_000), 2 ** np.arange(41)]))
+    codes = jaccard._codes(counts).astype(np.int64)
+    greatest = jaccard._greatest(codes)
+    assert (np.diff(codes) >= 0).all() and (codes[:4096] == np.arange(4096)).all()
+    assert (greatest >= counts).all() and ((greatest - counts) * 2048 <= counts).all()
+
+
+def test_levels_follow_counts_and_reach_the_driver_as_few_bytes(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(300)) for _ in range(60)]
+    monkeypatch.setattr(jaccard, "HOT_DOCUMENTS", 9)
+    monkeypatch.setattr(jaccard, "HOT_TIMES", 0)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    seen, fetch = [], type(frame).toArrow
+    monkeypatch.setattr(type(frame), "toArrow", lambda self: seen.append(fetch(self)) or seen[-1])
+    levels, hot = jaccard.bucket_levels(frame, 1)
+    counts = np.zeros(1 << jaccard.BUCKET_BITS, np.int64)
+    values, _ = jaccard.shingle_sets(pa.array(texts, pa.large_string()), 1)
+    np.add.at(counts, jaccard._bucket(values), 1)
+    order = np.argsort(counts, kind="stable")
+    assert (np.diff(levels[order].astype(int)) >= 0).all() and len(np.unique(levels)) > 3
+    assert hot.tolist() == np.flatnonzero(counts > 9).tolist() and len(hot)
+    # a counter of 64 bits was 8 bytes and more
+    assert sum(t.nbytes for t in seen) < 3 * jaccard.PACK * sum(t.num_rows for t in seen)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(stars, "checkpointed", lambda frame: rounds.append(1) or frames.checkpointed(frame))
+    edges = [(k % 3, 10 + k) for k in range(40)] + [(None, 4), (4, 4), (12, 2)]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.label for r in found} == {k: k for k in range(3)} | {10 + k: k % 3 for k in range(40)}
+    assert len(rounds) == 1
