@@ -319,10 +319,12 @@ def _folded(bits: Column, other: Column) -> Column:
     return F.when(F.size(bits) > half, both).otherwise(bits)
 
 
-def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _may_link(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that can link: sets that differ in parity differ in a hash, and linked sets in few."""
+    kept = described.where(F.col("n_shingles") >= smallest(percent)).groupBy("one")
+    kept = kept.agg(F.first("n_shingles").alias("n"), F.first("parity").alias("bits"))
     for side in ("a", "b"):
-        own = classes.select(F.col("one").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        own = kept.select(F.col("one").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
         pairs = pairs.join(own, side)
     x, y = F.col("bits_a"), F.col("bits_b")
     differ = F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
@@ -522,9 +524,10 @@ def _clustered_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
         yield out.filter(pa.array(same))
 
 
-def links(rows: DataFrame, classes: DataFrame, width: int = WORDS, percent: int = LEAST) -> DataFrame:
+def links(
+    rows: DataFrame, described: DataFrame, classes: DataFrame, width: int = WORDS, percent: int = LEAST
+) -> DataFrame:
     """Links (a, b) between smallest ids of classes, enough to connect every two sets that links connect."""
-    classes = classes.where(F.col("n") >= smallest(percent))
     spark = rows.sparkSession
     text = rows.select("text")
     # 2**BUCKET_BITS bytes, and at most 2**BUCKET_BITS / HOT_TIMES numbers
@@ -541,10 +544,10 @@ def links(rows: DataFrame, classes: DataFrame, width: int = WORDS, percent: int
     grouped = posted.repartition(place).sortWithinPartitions("token", "n", "one")
     near = frames.checkpointed(grouped.mapInArrow(groups, "a long, b long, sure boolean").distinct())
     pairs = near.where(~F.col("sure")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = near.where("sure").select("a", "b").union(_may_link(pairs, classes, percent))
+    near = near.where("sure").select("a", "b").union(_may_link(pairs, described, percent))
     clusters = components(near).select(F.col("node").alias("one"), F.col("label").alias("cluster"))
 
-    members = classes.select("one", "two", "n", "rep").join(clusters, "one")
+    members = classes.where(F.col("n") >= smallest(percent)).select("one", "two", "n", "rep").join(clusters, "one")
     tiles = _tiles(frames.checkpointed(members), percent)
     sets = rows.join(tiles, rows["doc_id"] == tiles["rep"]).select("rep", "one", "two", "tiles", "text")
     sets = sets.mapInArrow(
@@ -569,16 +572,14 @@ def join(
     described = frames.checkpointed(described)
     named = described.where(F.col("doc_id").isNotNull())
     filled = named.where(F.col("n_shingles") > 0)
-    classes = filled.groupBy("one", "two").agg(
-        F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("held"), F.first("parity").alias("bits")
-    )
-    classes = frames.checkpointed(classes)
+    classes = filled.groupBy("one", "two", F.col("n_shingles").alias("n"))
+    classes = frames.checkpointed(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")))
     # an id of several rows connects the classes that they are in, each of which has a smallest id of its own
     ends = [f(c).alias(f"{c}_{k}") for c in ("one", "two") for k, f in enumerate((F.min, F.max))]
     ids = filled.groupBy("doc_id").agg(F.count("*").alias("rows"), *ends)
     several = (F.col("one_0") < F.col("one_1")) | (F.col("two_0") < F.col("two_1"))
     total, repeated = ids.agg(F.sum("rows"), F.count_if(several)).first()
-    linked = links(rows.where(F.col("doc_id").isNotNull()), classes, width, percent)
+    linked = links(rows.where(F.col("doc_id").isNotNull()), named, classes, width, percent)
     if repeated:
         own = filled.join(ids.where(several).select("doc_id"), "doc_id", "left_semi").select("doc_id", "one", "two").distinct()
         shared = own.join(classes, ["one", "two"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
