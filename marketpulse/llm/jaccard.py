@@ -558,10 +558,10 @@ def links(
     return sets.mapInArrow(lambda batches: _links(batches, percent), "a long, b long")
 
 
-def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = LEAST
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to, itself included)."""
+def _labelled(
+    docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
+) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with the names of their sets; classes of equal sets with their component_id; rows with an id and a set."""
     if width < 1 or not 60 <= percent < 100:  # parities of linked sets are folded once at most
         raise ValueError("a shingle has a word or more, and percent is from 60 to 99")
     rows = frames.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -586,9 +586,19 @@ def join(
         linked = linked.union(shared)
     labels = components(linked)
     classes = classes.join(labels, classes["rep"] == labels["node"], "left")
+    classes = classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"), "held")
+    return described, classes, total or 0
+
+
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = LEAST
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id that links lead to, itself included)."""
+    described, classes, total = _labelled(docs, id_col, text_col, width, percent)
+    named = described.where(F.col("doc_id").isNotNull())
+    filled = named.where(F.col("n_shingles") > 0)
     # read three times below
-    classes = frames.checkpointed(classes.select("one", "two", F.coalesce("label", "rep").alias("component_id"), "held"))
-    out = frames.join_counted(filled, classes, ["one", "two"], "held", total or 0)
+    out = frames.join_counted(filled, frames.checkpointed(classes), ["one", "two"], "held", total)
     out = out.select("doc_id", "n_shingles", "component_id")
     empty = named.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     nameless = described.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long"))
@@ -602,8 +612,10 @@ def one_of_each(
 
     Of several rows with that id each different text stays once, with the smallest other columns.
     """
-    found = join(docs, id_col, text_col, width, percent)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    described, classes, _ = _labelled(docs, id_col, text_col, width, percent)
+    # a component's id is that of one of its rows, so classes name all that stay; a row without words stands for itself
+    empty = described.where(F.col("n_shingles") == 0).select(F.col("doc_id").alias("_kept"))
+    kept = frames.checkpointed(classes.select(F.col("component_id").alias("_kept")).union(empty).distinct())
     own = docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
     columns = [text_col, *(c for c in docs.columns if c != text_col)]
     names = F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")

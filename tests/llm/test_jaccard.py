@@ -238,3 +238,45 @@ def test_stars_take_no_round(spark, monkeypatch):
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.label for r in found} == {k: k for k in range(3)} | {10 + k: k % 3 for k in range(40)}
     assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("easy", [0, 150, frames.EASY_ROWS])  # joins, then windows, windows only
+def test_components_by_joins_and_windows(spark, monkeypatch, easy):
+    monkeypatch.setattr(frames, "EASY_ROWS", easy)
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400, 500 + k) for k in range(60)]
+    edges += [(399 - k, 900 + k // 2) for k in range(8)] + [(None, 7), (450, 400)]
+    union = Union()
+    for a, b in edges:
+        if a is not None and a != b:
+            union.join(a, b)
+    found = components(spark.createDataFrame([*edges, *edges], "a long, b long").repartition(5)).collect()
+    nodes = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    assert sorted((r.node, r.label) for r in found) == sorted((x, union.find(x)) for x in nodes)
+
+
+def test_few_edges_take_two_shuffles_a_round(spark, monkeypatch):
+    shuffles = []
+
+    def checkpointed(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        shuffles.append(sum("Exchange" in line for line in plan.splitlines()))
+        return frames.checkpointed(frame)
+
+    monkeypatch.setattr(stars, "checkpointed", checkpointed)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.label for r in components(edges).collect()} == {0}
+    assert len(shuffles) > 2 and max(shuffles[1:]) <= 2
+
+
+def test_copies_go_without_a_join_of_all_rows(spark, monkeypatch):
+    rows = near_copies(families=12)
+    labels = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r.doc_id for r in labels if r.doc_id is not None and r.doc_id == r.component_id}
+    monkeypatch.setattr(frames, "join_counted", None)  # nothing is labelled row by row
+    monkeypatch.setattr(jaccard, "_tiles", lambda members, percent: members.select("rep", "one", "two", F.array(F.xxhash64("cluster")).alias("tiles")))
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id is not None) == sorted(
+        {(i, t or "") for i, t in rows if i in kept}
+    )
+    assert sum(r.doc_id is None for r in got) == 1
