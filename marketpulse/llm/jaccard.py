@@ -123,15 +123,15 @@ _PACKED = [f"n{k}" for k in range(PACK)]
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A task's counts, PACK buckets a row: small numbers side by side take little room in a shuffle."""
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)  # of the documents of one task
     for batch in frames.slices(batches):
         values, _ = shingle_sets(batch.column("text"), width)
-        np.add.at(counts, _bucket(values), 1)
+        np.add.at(counts, _bucket(values), np.uint32(1))
     packed = counts.reshape(-1, PACK)
     some = np.flatnonzero(packed.any(axis=1))
     for k in range(0, len(some), 4096):
         part = some[k : k + 4096]
-        columns = [pa.array(part), *(pa.array(c) for c in packed[part].T.copy())]
+        columns = [pa.array(part), *(pa.array(c) for c in packed[part].T.astype(np.int64, order="C"))]
         yield pa.RecordBatch.from_arrays(columns, ["row", *_PACKED])
 
 

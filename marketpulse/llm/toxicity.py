@@ -38,7 +38,7 @@ RARE_WEIGHT = 2.0
 THRESHOLD = 0.7
 FOLDS, FOLD = 3, 1
 #: Bytes of text whose n-grams are held at a time; there are three for each byte.
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 
 _CALIBRATION = 4  # every fourth document of the sample
 
@@ -67,14 +67,17 @@ def grams(column: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarra
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class that have a feature."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in frames.slices(batches, limit=SLICE_BYTES):
         label = batch.column("label").to_numpy(zero_copy_only=False)
         owner, feature = grams(batch.column("text"))
         for kind in (0, 1):
-            counts[kind] += np.bincount(feature[label[owner] == kind], minlength=1 << BITS)
-    some = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["feature", "clean", "toxic"])
+            np.add.at(counts[kind], feature[label[owner] == kind], np.int32(1))
+    some = np.flatnonzero(counts.any(axis=0))
+    for k in range(0, len(some), 1 << 16):
+        part = some[k : k + (1 << 16)]
+        columns = [pa.array(part), *(pa.array(c.astype(np.int64)) for c in counts[:, part])]
+        yield pa.RecordBatch.from_arrays(columns, ["feature", "clean", "toxic"])
 
 
 @dataclass
@@ -88,15 +91,16 @@ class Model:
 
     @cached_property
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        chosen, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
+        """Whether a feature is chosen, and the order of the chosen ones: a weight for each value would be 32 MB."""
+        chosen = np.zeros(1 << BITS, bool)
         chosen[self.features] = True
-        weight[self.features] = self.weights
-        return chosen, weight
+        return chosen, np.argsort(self.features)
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        chosen, weight = self.tables
+        chosen, order = self.tables
         owner, feature = grams(column, chosen)
-        sums = np.bincount(owner, weight[feature], minlength=len(column)) + self.bias
+        weight = self.weights[order[np.searchsorted(self.features, feature, sorter=order)]]
+        sums = np.bincount(owner, weight, minlength=len(column)) + self.bias
         return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
 
 

@@ -2,10 +2,11 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from cases import PLAIN_WORD, by_id_and_text, long_text, lower, no_documents, odd_documents, odd_rows, ordered
 
-from marketpulse.llm import licenses, secrets_scan
+from marketpulse.llm import frames, licenses, secrets_scan
 
 SMALL = "/root/testdata/sf0.01/documents.parquet"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -237,3 +238,12 @@ def test_licenses_of_odd_documents(spark):
     assert ordered(licenses.report(docs).collect()) == ordered(license_row(i, t) for i, t in by_id_and_text(docs))
     assert len(odd_rows()) == licenses.report(docs).count()
     assert licenses.report(no_documents(spark)).count() == 0
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "long text " * 2000) for k in range(1500)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"most": [max(b.nbytes for b in batches)]})
+
+    assert frames.texts(docs).mapInArrow(sizes, "most long").first().most < 2 * frames.BATCH_BYTES
